@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
-from tidewater.llm import exact_dedup
+from pathlib import Path
+
+from tidewater.llm import exact_dedup, sentencepiece_bpe
 from tidewater.llm.common import table
 
 
+def op1_sentencepiece(spark, sf_dir):
+    import public_tokenizers
+
+    model = Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
+    coded = sentencepiece_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return sentencepiece_bpe.digests(sentencepiece_bpe.decode(coded.select("doc_id", "ids"), model))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
