@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from tidewater.llm import exact_dedup, sentencepiece_bpe
-from tidewater.llm.common import table
+from tidewater.llm import exact_dedup, sentencepiece_bpe, sharding, simhash
+from tidewater.llm.common import scratch_path, table
 
 
 def op1_sentencepiece(spark, sf_dir):
@@ -16,13 +16,25 @@ def op1_sentencepiece(spark, sf_dir):
     return sentencepiece_bpe.digests(sentencepiece_bpe.decode(coded.select("doc_id", "ids"), model))
 
 
+def op5_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_sharding(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.digests(sharding.shuffle(docs, scratch_path(spark, "shards")))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op5_simhash": op5_simhash,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLES = {
