@@ -12,8 +12,8 @@ def op1_sentencepiece(spark, sf_dir):
     import public_tokenizers
 
     model = Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
-    coded = sentencepiece_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    return sentencepiece_bpe.digests(sentencepiece_bpe.decode(coded.select("doc_id", "ids"), model))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_bpe.digests(sentencepiece_bpe.encode(docs, model, decoded="decoded"))
 
 
 def op5_simhash(spark, sf_dir):

@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +33,9 @@ from tidewater.llm.common import ship
 
 MARK = "▁"
 #: Words, chunks of words and pairs of pieces that one worker remembers.
-CHUNKS, PAIRS = 400_000, 500_000
+CHUNKS, PAIRS = 200_000, 200_000
+#: Rows coded at a time.
+ROWS = 256
 _RUNS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _KINDS = re.compile(rf"[\w{MARK}]+|[^\w{MARK}]+")
 _PROBES = ("a  b", " a ", "é①Ａ　x", "a\tb\n", "x­​")
@@ -64,12 +67,14 @@ class Encoder(dict):
         self.linked = {piece[i : i + 2] for piece in self.ids for i in range(len(piece) - 1)}
         self.trie = ahocorasick.Automaton()
         for token in self.letters | set(self.ids):
-            self.trie.add_word(token, (len(token), token in tied))
+            self.trie.add_word(token, token)
         self.trie.make_automaton()
+        self.holds_tied = re.compile("|".join(map(re.escape, sorted(tied))) or r"(?!)").search
+        self.shortened: dict[str, str | None] = {}
+        self.coded = {token: self.id_bytes(token) for token in self.letters | set(self.ids)}
         self.chunks: dict[str, bytes] = {}
         self.steps: dict[str, tuple[list, list] | None] = {}
         self.apart: dict[tuple[str, str], bool] = {}
-        self.fallback: dict[str, array] = {}
 
     def merges(self, text: str) -> tuple[list[str], list[tuple[float, int, str]]]:
         """The merge loop (the cheapest adjacent pair first, the leftmost of equals): the parts left, and (cost, place, joint) of each merge."""
@@ -139,63 +144,62 @@ class Encoder(dict):
             else:
                 j += 1
 
+    def shorter(self, token: str) -> str | None:
+        """The longest piece (or letter) that a token begins with, other than itself."""
+        if token not in self.shortened:
+            self.shortened[token] = next((p for n in range(len(token) - 1, 0, -1) if (p := token[:n]) in self.coded), None)
+        return self.shortened[token]
+
     def tokens(self, text: str) -> list[str]:
         """The tokens of a chunk of known characters, by backtracking."""
-        if text in self.ids and self.edges(text):
-            return [text]
-        starts: list[list[int]] = [[] for _ in text]
-        for end, (size, tied) in self.trie.iter(text):
-            if tied:
-                return self.merges(text)[0]
-            starts[end + 1 - size].append(size)
-        open_at = (1 << (len(text) + 1)) - 1  # a set bit: not known to fail from there
+        if self.holds_tied(text):
+            return self.merges(text)[0]
         found: list[str] = []
-        at, rank = 0, len(starts[0]) - 1  # sizes at a position go up, so the last is the longest
-        ranks: list[int] = []
-        while at < len(text):
-            sizes, left = starts[at], found[-1] if found else None
-            while rank >= 0:
-                end = at + sizes[rank]
-                if open_at >> end & 1:
-                    token = text[at:end]
-                    if self.edges(token) and (left is None or self.stay_apart(left, token)):
-                        break
-                rank -= 1
-            if rank >= 0:
+        at, left = 0, None
+        # The longest pieces in a row. Most often all of them stay apart, and there is nothing to take back.
+        for _, token in self.trie.iter_long(text):
+            if not (self.edges(token) and (left is None or self.stay_apart(left, token))):
+                break
+            found.append(token)
+            at += len(token)
+            left = token
+        size = len(text)
+        open_at = (1 << (size + 1)) - 1  # a set bit: not known to fail from there
+        while at < size:
+            while token is not None:
+                end = at + len(token)
+                if open_at >> end & 1 and self.edges(token) and (left is None or self.stay_apart(left, token)):
+                    break
+                token = self.shorter(token)
+            if token is not None:
                 found.append(token)
-                ranks.append(rank)
-                at = end
-                rank = len(starts[at]) - 1 if at < len(text) else -1
+                at, left = end, token
+                if at < size:
+                    token = next(self.trie.iter_long(text, at))[1]
             else:
                 open_at &= ~(1 << at)
-                at -= len(found.pop())
-                rank = ranks.pop() - 1
+                at -= len(left)
+                token = self.shorter(found.pop())
+                left = found[-1] if found else None
         return found
 
-    def id_bytes(self, token: str) -> array:
-        if (i := self.ids.get(token)) is not None:
-            return array("i", [i])
-        if token not in self.fallback:
-            self.fallback[token] = array("i", (self.processor.piece_to_id(f"<0x{b:02X}>") for b in token.encode()))
-        return self.fallback[token]
+    def id_bytes(self, token: str) -> bytes:
+        """The id of a piece, or those of the bytes of any other character."""
+        known = self.ids.get(token)
+        return array("i", [known] if known is not None else [self.processor.piece_to_id(f"<0x{b:02X}>") for b in token.encode()]).tobytes()
 
     def encode_chunk(self, chunk: str) -> bytes:
         """The ids of a chunk whose characters may be unknown."""
         if (known := self.chunks.get(chunk)) is None:
-            out, run = array("i"), []
-            for c in [*chunk, ""]:
-                if c in self.letters:
-                    run.append(c)
-                    continue
-                if run:
-                    for token in self.tokens("".join(run)):
-                        out += self.id_bytes(token)
-                    run = []
-                if c:
-                    out += self.id_bytes(c)
+            code = self.coded.__getitem__
+            if self.letters.issuperset(chunk):
+                known = b"".join(map(code, self.tokens(chunk)))
+            else:
+                runs = ("".join(run) if in_piece else run for in_piece, run in groupby(chunk, self.letters.__contains__))
+                known = b"".join(b"".join(map(code, self.tokens(run))) if isinstance(run, str) else b"".join(map(self.id_bytes, run)) for run in runs)
             if len(self.chunks) >= CHUNKS:
                 self.chunks.clear()
-            known = self.chunks[chunk] = out.tobytes()
+            self.chunks[chunk] = known
         return known
 
     def encode_word(self, word: str) -> bytes:
@@ -250,22 +254,30 @@ def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
 
 
-def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds the ids of each text, without begin or end ids."""
+def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Adds the ids of each text, without begin or end ids; and, if a name is given for it, the text that they decode to."""
     ship(docs.sparkSession)
+    schema = _schema(docs, ids, T.ArrayType(T.IntegerType()))
+    if decoded:
+        schema = T.StructType([f for f in schema.fields if f.name != decoded] + [T.StructField(decoded, T.StringType())])
 
     def run(batches):
         code = encoder(model)
-        for batch in batches:
-            parts = [code.encode(x.as_py()) for x in batch.column(text)]
-            ends = array("i", [0])
-            for part in parts:
-                ends.append(ends[-1] + len(part) // 4)
-            flat = b"".join(parts)
-            values = pa.Array.from_buffers(pa.int32(), len(flat) // 4, [None, pa.py_buffer(flat)])
-            yield _put(batch, ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values))
-
-    return docs.mapInArrow(run, _schema(docs, ids, T.ArrayType(T.IntegerType())))
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(first, ROWS)
+                parts = [code.encode(x.as_py()) for x in batch.column(text)]
+                ends = array("i", [0])
+                for part in parts:
+                    ends.append(ends[-1] + len(part) // 4)
+                flat = b"".join(parts)
+                values = pa.Array.from_buffers(pa.int32(), len(flat) // 4, [None, pa.py_buffer(flat)])
+                batch = _put(batch, ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values))
+                if decoded:
+                    batch = _put(batch, decoded, pa.array([code.decode(list(memoryview(part).cast("i"))) for part in parts], pa.string()))
+                yield batch
+
+    return docs.mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded") -> DataFrame:
