@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from tidewater.llm import exact_dedup, sentencepiece_bpe, sharding, simhash
+from pyspark.sql import functions as F
+
+from tidewater.llm import decontaminate, exact_dedup, sentencepiece_bpe, sharding, simhash, toxicity
 from tidewater.llm.common import scratch_path, table
 
 
@@ -21,10 +23,26 @@ def op5_simhash(spark, sf_dir):
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op7_decontamination(spark, sf_dir):
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op10_sharding(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.digests(sharding.shuffle(docs, scratch_path(spark, "shards")))
@@ -33,7 +51,9 @@ def op10_sharding(spark, sf_dir):
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op5_simhash": op5_simhash,
+    "op7_decontamination": op7_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
 }
 

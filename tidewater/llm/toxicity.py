@@ -1,8 +1,8 @@
 """Toxicity by multiple-instance learning: sentence scores, joined by noisy-or, learnt from document labels.
 
 A document is toxic if any of its sentences is: P(doc) = 1 - prod(1 - p(sentence)), and p(sentence)
-is the logistic function of a bias plus the weights of its words. A word's weight is the sum of
-the weights of its features, hashed character n-grams of the word with its borders and the word
+is the logistic function of a bias plus the weights of its different words. A word's weight is the sum of
+the weights of its features, character n-grams of the word with its borders and the word
 itself. Only labels of documents are seen; the weights say which sentences offend.
 
 Training takes a bounded sample of labelled rows (POSITIVE toxic and NEGATIVE other ones, those
@@ -20,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +32,8 @@ from pyspark.sql import types as T
 from tidewater.llm.common import ship
 
 POSITIVE, NEGATIVE, LONGEST = 1500, 3000, 1 << 16
-BITS, GRAMS = 18, (3, 4, 5)
+GRAMS = (3, 4, 5)
+SURE, LEAST = 4.5, 5
 WORDS = 400_000
 OFFENDING = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
@@ -45,60 +46,87 @@ def sentences(text: str) -> list[str]:
     return _SENTENCE.findall(text)
 
 
-def features(word: str) -> list[int]:
-    """Hashed n-grams of a word in lower case, without marks around or in it."""
+def features(word: str) -> list[str]:
+    """The n-grams of a word in lower case, without marks around or in it."""
     bare = _PLAIN.sub("", word.lower())
     if not bare:
         return []
     edged = f"^{bare}$"
-    grams = {edged, *(edged[i : i + n] for n in GRAMS for i in range(len(edged) - n + 1))}
-    return [zlib.crc32(g.encode()) & ((1 << BITS) - 1) for g in grams]
+    return list(dict.fromkeys([edged, *(edged[i : i + n] for n in GRAMS for i in range(len(edged) - n + 1))]))
 
 
 @dataclass
 class Model:
-    weights: np.ndarray
+    """Weights of the n-grams that tell; as many as the training rows hold at most."""
+
+    weights: dict[str, float]
     bias: float
 
     def key(self) -> str:
-        return hashlib.sha256(self.weights.tobytes() + repr(self.bias).encode()).hexdigest()
+        return hashlib.sha256(repr((sorted(self.weights.items()), self.bias)).encode()).hexdigest()
+
 
+def fit(texts: list[str], labels: list[int], turns: int = 200, rate: float = 0.1, ridge: float = 1e-4) -> Model:
+    """Noisy-or likelihood of the document labels, by gradient descent (Adam).
 
-def fit(texts: list[str], labels: list[int], turns: int = 60, rate: float = 0.15, ridge: float = 1e-3) -> Model:
-    """Gradient descent (Adam) on the log-likelihood of the document labels."""
+    Only features that toxic documents hold more, or less, often than chance explains (SURE
+    standard deviations, LEAST occurrences) get a weight; the others would learn the names
+    in single documents.
+    """
     if not any(labels):
-        return Model(np.zeros(1 << BITS), -50.0)
+        return Model({}, -50.0)
     vocabulary: dict[str, int] = {}
     word_of, sentence_of, doc_of = [], [], []
     for d, text in enumerate(texts):
         for s in sentences(text):
-            if words := s.split():
+            if words := dict.fromkeys(s.split()):
                 sentence_of += [len(doc_of)] * len(words)
                 word_of += [vocabulary.setdefault(w, len(vocabulary)) for w in words]
                 doc_of.append(d)
-    grams = [np.array(features(w), dtype=np.int64) for w in vocabulary]
-    owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-    gram = np.concatenate([*grams, np.zeros(0, dtype=np.int64)])
-    scale = 1 / np.sqrt(np.maximum(1, [len(g) for g in grams]))[owner]
+    number: dict[str, int] = {}
+    grams, sizes = array("i"), array("i")
+    for w in vocabulary:
+        own = features(w)
+        sizes.append(len(own))
+        grams.extend([number.setdefault(g, len(number)) for g in own])
+    sizes, gram, words = np.array(sizes), np.array(grams, dtype=np.int64), len(vocabulary)
+    owner = np.repeat(np.arange(words), sizes)
+    size = np.sqrt(np.maximum(1, sizes))
     word_of, sentence_of, doc_of, y = (np.array(x, dtype=np.int64) for x in (word_of, sentence_of, doc_of, labels))
-    weights, bias = np.zeros(1 << BITS), -5.0
+
+    held = np.unique(doc_of[sentence_of] * words + word_of)  # each word once a document
+    in_toxic = y[held // words] == 1
+    many = [np.bincount(held[mask] % words, minlength=words) for mask in (in_toxic, ~in_toxic)]
+    toxic, other = (np.bincount(gram, n[owner], minlength=len(number)) for n in many)
+    share = in_toxic.mean()
+    chance = (toxic + other) * share
+    chosen = (np.abs(toxic - chance) > SURE * np.sqrt(chance * (1 - share) + 0.25)) & (toxic + other >= LEAST)
+    owner, gram = owner[chosen[gram]], gram[chosen[gram]]
+    kinds, gram = np.unique(gram, return_inverse=True)
+    scale = 1 / size[owner]
+
+    weights, bias = np.zeros(len(kinds)), -4.0
     m, v, mb, vb = np.zeros_like(weights), np.zeros_like(weights), 0.0, 0.0
+    used = np.zeros(words, dtype=bool)
+    used[owner] = True
+    told = used[word_of]  # the other words add nothing to a sentence
+    word_of, sentence_of = word_of[told], sentence_of[told]
     for turn in range(1, turns + 1):
-        of_word = np.bincount(owner, weights[gram] * scale, minlength=len(grams))
+        of_word = np.bincount(owner, weights[gram] * scale, minlength=words)
         z = np.bincount(sentence_of, of_word[word_of], minlength=len(doc_of)) + bias
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         total = np.bincount(doc_of, np.logaddexp(0, z), minlength=len(texts))
-        by_doc = np.where(y == 1, -1 / np.expm1(np.maximum(total, 1e-9)), 1.0)
+        by_doc = np.where(y == 1, -1 / np.expm1(np.clip(total, 1e-9, 40)), 1.0)
         by_sentence = by_doc[doc_of] * p
-        by_word = np.bincount(word_of, by_sentence[sentence_of], minlength=len(grams))
-        slope = np.bincount(gram, by_word[owner] * scale, minlength=1 << BITS) + ridge * len(texts) * weights / 10
-        slope_b = by_sentence.sum()
-        slope, slope_b = slope / len(texts), slope_b / len(texts)
+        by_word = np.bincount(word_of, by_sentence[sentence_of], minlength=words)
+        slope = np.bincount(gram, by_word[owner] * scale, minlength=len(kinds)) / len(texts) + ridge * weights
+        slope_b = by_sentence.sum() / len(texts)
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         mb, vb = 0.9 * mb + 0.1 * slope_b, 0.99 * vb + 0.01 * slope_b**2
         weights = weights - rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8)
         bias -= rate * (mb / (1 - 0.9**turn)) / (math.sqrt(vb / (1 - 0.99**turn)) + 1e-8)
-    return Model(weights, bias)
+    names = list(number)
+    return Model({names[k]: float(w) for k, w in zip(kinds, weights)}, float(bias))
 
 
 class Scorer(dict):
@@ -111,8 +139,8 @@ class Scorer(dict):
     def __missing__(self, word: str) -> float:
         if len(self) >= WORDS:
             self.clear()
-        own = features(word)
-        self[word] = value = float(self.weights[own].sum()) / math.sqrt(len(own)) if own else 0.0
+        own, known = features(word), self.weights
+        self[word] = value = sum([known[g] for g in own if g in known]) / math.sqrt(len(own) or 1)
         return value
 
     def score(self, text: str | None) -> tuple[float, list[dict]]:
@@ -120,7 +148,7 @@ class Scorer(dict):
         total, at, found = 0.0, 0, []
         weight = self.__getitem__
         for s in sentences(text) if text else []:
-            if words := s.split():
+            if words := dict.fromkeys(s.split()):
                 z = self.bias + sum(map(weight, words))
                 total += math.log1p(math.exp(z)) if z < 30 else z
                 if z >= 0:
