@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from tidewater.llm import decontaminate, exact_dedup, sentencepiece_bpe, sharding, simhash, toxicity
+from tidewater.llm import decontaminate, exact_dedup, line_dedup, sentencepiece_bpe, sharding, simhash, substring_dedup, toxicity
 from tidewater.llm.common import scratch_path, table
 
 
@@ -18,6 +18,21 @@ def op1_sentencepiece(spark, sf_dir):
     return sentencepiece_bpe.digests(sentencepiece_bpe.encode(docs, model, decoded="decoded"))
 
 
+def op3_line_dedup(spark, sf_dir):
+    kept = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select(
+        "doc_id",
+        F.coalesce(F.size("deleted"), F.lit(0)).cast("long").alias("n_deleted"),
+        "deleted",
+        "sources",
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
+
+
+def op4_substring_dedup(spark, sf_dir):
+    return substring_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id")
@@ -50,6 +65,8 @@ def op10_sharding(spark, sf_dir):
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_simhash": op5_simhash,
     "op7_decontamination": op7_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
