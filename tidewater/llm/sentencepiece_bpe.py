@@ -292,10 +292,11 @@ def decode(docs: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded
     return docs.mapInArrow(run, _schema(docs, text, T.StringType()))
 
 
-def digests(coded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoded and decoded documents."""
+def digests(coded: DataFrame, *more: str) -> DataFrame:
+    """doc_id, more columns, n_tokens, ids_sha256, decoded_sha256 of encoded and decoded documents."""
     return coded.select(
         "doc_id",
+        *more,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -4,16 +4,16 @@ Fingerprints: 3-word shingles of the text with A-Z lower-cased, words being runs
 [^\\x20\\x09-\\x0D]; each shingle's XXH64 (seed 42) votes for its 64 bits, a bit is set if
 more than half of the votes are.
 
-Links: equal fingerprints are reduced to one row first. If two 64-bit fingerprints differ in
-at most two bits, at least two of their four 16-bit blocks are equal, so each distinct
-fingerprint goes to the six buckets of its block pairs. A bucket holds fingerprints that
-share 32 bits; one with more than SPLIT members is dealt once more by the pairs of four
-8-bit blocks of its other bits, after which 16 bits are free and a bucket has at most 65,536
-members, whatever the corpus. In each bucket the fingerprints, sorted by Gray rank, form a
-tree: a node keeps the bits that all below it share and its ancestors don't keep already.
-Searching adds up differing bits on the way down and drops a whole subtree once there are
-more than two. A bucket emits a spanning forest of its links, not the links, so a group of
-thousands of neighbours costs one row per member; components are then found over the forest.
+Links: equal fingerprints are reduced to one row first. If two fingerprints differ in at most
+k bits, at least two of k + 2 blocks of their bits are equal, so each distinct fingerprint goes
+to a bucket for each pair of blocks (six for k = 2, by 32 shared bits). A bucket of more than
+SPLIT members is dealt once more by the pairs of k + 2 blocks of its other bits, and so on
+until at most FREE bits are open; a bucket then has at most 2 ** FREE members, whatever the
+corpus. In each bucket the fingerprints, sorted by Gray rank, form a tree: a node keeps the
+bits that all below it share and its ancestors don't keep already. Searching adds up differing
+bits on the way down and drops a whole subtree once there are too many. A bucket emits a
+spanning forest of its links, not the links, so a group of thousands of neighbours costs one
+row per member; components are then found over the forest.
 
 Defined results: null and empty texts, and texts without words, have fingerprint zero,
 linked like any other; fewer words than a shingle: the whole sequence is the one shingle;
@@ -23,18 +23,21 @@ their component like others (null if it has none); extra columns are not read.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.llm.common import settle, ship
 from tidewater.llm.components import components
 
 MAX_BITS = 2
-#: Members above which a bucket is dealt out by further bits.
-SPLIT = 8192
+#: Members above which a bucket is dealt out by further bits, as long as more than FREE bits are open.
+SPLIT, FREE = 8192, 16
 #: Children of a node, and fingerprints of a leaf.
 FAN = 8
 #: Queries that walk the tree at a time.
@@ -65,17 +68,23 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each document."""
+def _with_fp(docs: DataFrame, words: int) -> DataFrame:
+    """docs with the fingerprint fp (a signed long) in place of the text."""
     ship(docs.sparkSession)
+    names = [n for n in docs.columns if n != "text"]
 
     def run(batches):
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             fps = np.array([fingerprint(x.as_py(), words) for x in texts], dtype=np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(fps)], [*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[n] for n in names), T.StructField("fp", T.LongType())]))
+
+
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long) of each document."""
+    return _with_fp(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), words)
 
 
 # --- the tree of one bucket -------------------------------------------------------------
@@ -150,77 +159,105 @@ def forest(fps: np.ndarray, most: int = MAX_BITS) -> tuple[np.ndarray, np.ndarra
 # --- buckets over the cluster -----------------------------------------------------------
 
 
-def _pairs(value, width: int, offset: int):
-    """For the six pairs of four blocks of value: (number of the pair from offset on, the pair's bits as a number)."""
-    mask = (1 << width) - 1
-    block = [F.shiftrightunsigned(value, width * i).bitwiseAND(F.lit(mask)) for i in range(4)]
-    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    return F.array(*(F.struct(F.lit(offset + n).cast("int").alias("kind"), F.shiftleft(block[i], width).bitwiseOR(block[j]).alias("bits")) for n, (i, j) in enumerate(pairs)))
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _other_bits(value, kind):
-    """The 32 bits of value that the block pair number kind leaves out."""
-    block = [F.shiftrightunsigned(value, 16 * i).bitwiseAND(F.lit(65535)) for i in range(4)]
-    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    out = F.lit(None).cast("long")
-    for n, pair in enumerate(pairs):
-        k, m = (x for x in range(4) if x not in pair)
-        out = F.when(kind == n, F.shiftleft(block[k], 16).bitwiseOR(block[m])).otherwise(out)
-    return out
+def masks(above: int, most: int) -> list[int]:
+    """What a bucket with the shared bits `above` is dealt by: above and each pair of most + 2 blocks of the other bits."""
+    other = [i for i in range(64) if not above >> i & 1]
+    cuts = [len(other) * i // (most + 2) for i in range(most + 3)]
+    blocks = [sum(1 << i for i in other[a:b]) for a, b in zip(cuts, cuts[1:])]
+    return [above | x | y for x, y in combinations(blocks, 2)]
 
 
-def links(distinct: DataFrame, split: int = SPLIT) -> DataFrame:
+def links(distinct: DataFrame, most: int = MAX_BITS, split: int = SPLIT) -> DataFrame:
     """Edges (a, b) between distinct fingerprints fp whose components are those of all links."""
-    ship(distinct.sparkSession)
-    keyed = distinct.select("fp", F.explode(_pairs(F.col("fp"), 16, 0)).alias("key")).select("fp", "key.kind", "key.bits")
-    sizes = keyed.groupBy("kind", "bits").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = settle(keyed.join(sizes, ["kind", "bits"]), "buckets")
-    fine = F.explode(_pairs(_other_bits(F.col("fp"), F.col("kind")), 8, 0)).alias("sub")
-    small = shared.where(F.col("size") <= split).select("kind", "bits", F.lit(-1).alias("kind2"), F.lit(0).cast("long").alias("bits2"), "fp")
-    large = shared.where(F.col("size") > split).select("kind", "bits", "fp", fine).select("kind", "bits", F.col("sub.kind").alias("kind2"), F.col("sub.bits").alias("bits2"), "fp")
-    names = ["kind", "bits", "kind2", "bits2"]
+    spark = distinct.sparkSession
+    ship(spark)
+    level = masks(0, most)
+    dealt = distinct.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in level))).alias("mask"))
+    ready = None
+    while True:
+        keyed = dealt.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"), "fp")
+        sizes = keyed.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        shared = settle(keyed.join(sizes.hint("merge"), ["mask", "bits"]), "buckets")
+        last = 64 - min(m.bit_count() for m in level) <= FREE
+        done = shared if last else shared.where(F.col("size") <= split)
+        ready = done if ready is None else ready.unionByName(done)
+        if last or shared.where(F.col("size") > split).isEmpty():
+            break
+        children = [(_signed(m), _signed(n)) for m in level for n in masks(m, most)]
+        level = sorted({n & ((1 << 64) - 1) for _, n in children})
+        # As many rows as there are pairs of masks, whatever the corpus.
+        child = spark.createDataFrame(children, "mask long, child long")
+        large = shared.where(F.col("size") > split).select("mask", "fp")
+        dealt = large.join(F.broadcast(child), "mask").select("fp", F.col("child").alias("mask")).distinct()
+    rows = ready.select("mask", "bits", "fp").repartition("mask", "bits").sortWithinPartitions("mask", "bits")
+    return rows.mapInArrow(_bucket_forests(most), "a long, b long")
+
+
+def _bucket_forests(most: int):
+    def edges(marks, fps):
+        """The forests of whole buckets; marks tell them apart."""
+        starts = np.flatnonzero(np.append(True, (marks[:, 1:] != marks[:, :-1]).any(axis=0)))
+        sizes = np.diff(np.append(starts, len(fps)))
+        a, b = [], []
+        small = sizes <= FAN  # a bucket that is one leaf: its members are compared directly, all such buckets at once
+        of = np.repeat(np.arange(len(starts)), sizes)
+        for step in range(1, FAN):
+            same = np.flatnonzero((of[step:] == of[:-step]) & small[of[step:]])
+            near = same[np.bitwise_count(fps[same] ^ fps[same + step]) <= most]
+            a.append(fps[near])
+            b.append(fps[near + step])
+        for n in np.flatnonzero(~small).tolist():
+            x, y = forest(fps[starts[n] : starts[n] + sizes[n]], most)
+            a.append(x)
+            b.append(y)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
 
     def run(batches):
         """Rows come sorted by bucket; one that goes on in the next batch is carried over."""
-        left = None
-
-        def edges(keys, fps, cuts):
-            a, b = [], []
-            for i, j in zip(cuts[:-1], cuts[1:]):
-                if j - i == 2:
-                    if (int(fps[i]) ^ int(fps[i + 1])).bit_count() <= MAX_BITS:
-                        a.append(fps[i : i + 1])
-                        b.append(fps[i + 1 : i + 2])
-                elif j - i > 2:
-                    x, y = forest(fps[i:j])
-                    a.append(x)
-                    b.append(y)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (a, b)], ["a", "b"])
-
+        marks, fps = np.zeros((2, 0), dtype=np.int64), np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([np.asarray(batch.column(n)).astype(np.int64) for n in names])
-            fps = np.asarray(batch.column("fp")).astype(np.int64).view(np.uint64)
-            if left is not None:
-                keys, fps = np.concatenate([left[0], keys], axis=1), np.concatenate([left[1], fps])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()]
-            yield from edges(keys, fps, cuts)
-            left = keys[:, cuts[-1] :], fps[cuts[-1] :]
-        if left is not None:
-            yield from edges(*left, [0, len(left[1])])
-
-    dealt = small.unionByName(large).repartition(*names).sortWithinPartitions(*names)
-    return dealt.mapInArrow(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, words: int = 3, split: int = SPLIT) -> DataFrame:
+            marks = np.concatenate([marks, np.stack([np.asarray(batch.column(n)) for n in ("mask", "bits")])], axis=1)
+            fps = np.concatenate([fps, np.asarray(batch.column("fp")).view(np.uint64)])
+            if len(fps):
+                whole = np.flatnonzero(np.append(True, (marks[:, 1:] != marks[:, :-1]).any(axis=0)))[-1]
+                if whole:
+                    yield edges(marks[:, :whole], fps[:whole])
+                marks, fps = marks[:, whole:], fps[whole:]
+        if len(fps):
+            yield edges(marks, fps)
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, most: int = MAX_BITS, split: int = SPLIT) -> DataFrame:
     """doc_id, fp, fingerprint (16 hex digits) and component_id of each document."""
     marked = settle(fingerprints(docs, words), "fingerprints")
     distinct = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    labels = components(links(distinct.select("fp"), split)).withColumnRenamed("node", "fp")
+    labels = components(links(distinct.select("fp"), most, split)).withColumnRenamed("node", "fp")
     placed = distinct.join(labels, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     least = placed.groupBy("label").agg(F.min("first").alias("component_id"))
     fate = settle(placed.join(least, "label").select("fp", "component_id"), "fate")
-    return marked.join(fate, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return marked.join(fate.hint("merge"), "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, words: int = 5, most: int = MAX_BITS) -> DataFrame:
+    """docs, of each component the row with the smallest doc_id; all columns are kept.
+
+    Rows without an id are kept only where their component has no id at all, and then, as
+    where the smallest id repeats, one of them stays: the first by its text and the order of
+    the input's files.
+    """
+    spark = docs.sparkSession
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    ship(spark)
+    marked = settle(_with_fp(numbered.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("_row").alias("row")), words), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    distinct = settle(marked.groupBy("fp").agg(first), "distinct")
+    labels = components(links(distinct.select("fp"), most)).withColumnRenamed("node", "fp")
+    groups = distinct.join(labels, "fp", "left").groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("first").alias("first"))
+    stays = settle(groups.select(F.col("first.row").alias("_row")), "stays")
+    return numbered.join(stays.hint("merge"), "_row", "left_semi").drop("_row")
