@@ -1,4 +1,4 @@
-"""What the training-data operators share: scratch tables, code shipping, small helpers."""
+"""What the training-data operators share: scratch tables and small helpers."""
 
 from __future__ import annotations
 
@@ -6,14 +6,13 @@ import atexit
 import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewater.shipping import ship  # noqa: F401  for the operators
+
 #: Scratch folders made by this process, removed when it ends.
 _scratch: list[tuple[SparkSession, str]] = []
-_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,19 +64,5 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, wherever it is installed."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp()) / "tidewater.zip"
-    with zipfile.ZipFile(target, "w") as archive:
-        for file in sorted(root.rglob("*.py")):
-            archive.write(file, file.relative_to(root.parent))
-    context.addPyFile(str(target))
-    _shipped.add(context.applicationId)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
