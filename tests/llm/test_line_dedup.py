@@ -1,0 +1,121 @@
+import random
+from difflib import SequenceMatcher
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tidewater.llm import line_dedup, registry
+
+
+def line(n):
+    return f"line {n} has enough words to be told apart here"
+
+
+def text(*numbers):
+    return "\n".join(line(n) if isinstance(n, int) else n for n in numbers)
+
+
+def docs(spark, rows):
+    return spark.createDataFrame(rows, "doc_id bigint, text string")
+
+
+def kept(df, **options):
+    return {r.doc_id: r.text for r in line_dedup.line_dedup(df, **options).collect()}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 12), max_size=25), st.lists(st.integers(0, 12), max_size=25))
+def test_patience_aligns_equal_lines_in_order(a, b):
+    found = line_dedup.patience(a, b)
+    assert all(a[i] == b[j] for i, j in found)
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:]))
+    if a == b:
+        assert len(found) == len(a)
+
+
+def test_patience_keeps_the_longest_common_order_of_unique_lines():
+    random.seed(3)
+    for _ in range(50):
+        a, b = random.sample(range(30), 20), random.sample(range(30), 20)
+        place = {x: i for i, x in enumerate(a)}
+        order = [place[x] for x in b if x in place]
+        best = [1] * len(order)
+        for n in range(len(order)):
+            best[n] = 1 + max([best[m] for m in range(n) if order[m] < order[n]], default=0)
+        assert len(line_dedup.patience(a, b)) == max(best, default=0)
+
+
+def test_blocks_go_from_the_later_document(spark):
+    df = docs(spark, [(2, text(10, 1, 2, 3, 11)), (1, text(1, 2, 3, 4)), (3, text(20, 21))])
+    assert kept(df) == {1: text(1, 2, 3, 4), 2: text(10, 11), 3: text(20, 21)}
+
+
+def test_moved_blocks_and_short_lines(spark):
+    df = docs(spark, [(1, text(1, 2, "ok", 3, 4)), (2, text(5, 1, 2, "ok", 6)), (3, "ok\nyes"), (4, "ok\nyes")])
+    assert kept(df) == {1: text(1, 2, "ok", 3, 4), 2: text(5, 6), 3: "ok\nyes", 4: "ok\nyes"}
+
+
+def test_frequent_lines_alone_make_no_pair(spark):
+    rows = [(i, text(0, 100 + i)) for i in range(10)]
+    assert kept(docs(spark, rows), rare=5) == dict(rows)
+    assert kept(docs(spark, rows), rare=10) == {i: text(0, 100 + i) if i == 0 else text(100 + i) for i in range(10)}
+
+
+def test_large_groups_of_copies_are_cut_by_rows_of_lines(spark):
+    rows = [(i, text(1, 2, 3, 4, 1000 + i)) for i in range(40)] + [(100 + i, text(7)) for i in range(40)]
+    got = kept(docs(spark, rows), rare=5)
+    assert got[0] == rows[0][1] and got[100] == text(7)
+    assert all(got[i] == text(1000 + i) for i in range(1, 40))
+    assert all(got[100 + i] == "" for i in range(1, 40))
+
+
+def plain(rows, rare=line_dedup.RARE):
+    """All pairs with the first holder, by a double loop."""
+    hold, count = {}, {}
+    keys = {}
+    for i, t in rows:
+        parts = [x.strip(" ") for x in t.split("\n")] if t else []
+        long = [len(x.split(" ")) >= line_dedup.WORDS for x in parts]
+        own = {(1, x) for x, l in zip(parts, long) if l}
+        own |= {(2, *parts[k : k + 3]) for k in range(len(parts) - 2) if any(long[k : k + 3])}
+        own |= {(3, *parts)} if any(long) else set()
+        keys[i] = own, parts, long
+        for k in own:
+            hold[k] = min(i, hold.get(k, i))
+            count[k] = count.get(k, 0) + 1
+    out = {}
+    for i, (own, parts, long) in keys.items():
+        gone = set()
+        for first in {hold[k] for k in own if hold[k] < i and (k[0] > 1 or count[k] <= rare)}:
+            gone |= set(line_dedup.common_lines(keys[first][1], parts, long))
+        out[i] = sorted(gone)
+    return out
+
+
+def test_query_against_a_plain_computation(spark, small):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    want = plain(rows)
+    got = {r.doc_id: r.deleted or [] for r in registry.op3_line_dedup(spark, small).collect()}
+    assert got == want and any(want.values())
+
+
+def test_deleted_lines_are_in_the_source(spark, small):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    for r in line_dedup.line_dedup(spark.read.parquet(f"{small}/documents.parquet")).where("deleted IS NOT NULL").collect():
+        sources = {x.strip(" ") for s in r.sources for x in texts[s].split("\n")}
+        lines = texts[r.doc_id].split("\n")
+        assert all(lines[n].strip(" ") in sources for n in r.deleted) and max(r.sources) < r.doc_id
+        assert SequenceMatcher(None, r.text, texts[r.doc_id], autojunk=False).real_quick_ratio() <= 1
+
+
+def test_edges(spark, edges, none):
+    got = line_dedup.line_dedup(edges)
+    assert got.columns == [*edges.columns, "deleted", "sources"]
+    rows = got.collect()
+    assert len(rows) == edges.count()
+    by = lambda i: [r.text for r in rows if r.doc_id == i]
+    whole = edges.where("doc_id = 1").first().text
+    assert by(1) == [whole] and by(2) == ["", ""]
+    assert sorted(map(repr, by(None))) == sorted(map(repr, ["", None]))
+    assert by(3) == [None] and by(4) == [""] and sorted(by(7)) == ["one", "two of one id"]
+    assert line_dedup.line_dedup(none).count() == 0

@@ -1,0 +1,64 @@
+import zlib
+
+import pytest
+
+from tidewater.llm import registry, toxicity
+
+MIDDLE = "/root/testdata/sf0.01"
+
+
+def test_sentences_make_up_the_text():
+    for text in ("", "a", "One. Two!  Three?\nFour", "\n\n..a..b", "é. 中。"):
+        assert "".join(toxicity.sentences(text)) == text
+
+
+def test_features():
+    assert toxicity.features("Ab,") == ["^ab$", "^ab", "ab$"]
+    assert toxicity.features("...") == []
+
+
+def test_learns_the_sentence_from_document_labels():
+    clean = [f"The sky number {i} is blue. It rains in town {i}." for i in range(60)]
+    toxic = [f"The sky number {i} is blue. You are a stinker. It rains in town {i}." for i in range(40)]
+    model = toxicity.fit(clean + toxic, [0] * 60 + [1] * 40)
+    use = toxicity.Scorer(model)
+    p, found = use.score("It rains. A big STINKER, he! The sky.")
+    assert p > 0.5 and [(x["start"], x["end"]) for x in found] == [(9, 28)]
+    assert use.score("The sky is blue. It rains.")[0] < 0.5
+    assert use.score(None) == use.score("") == use.score(" \n") == (0.0, [])
+
+
+def test_no_toxic_label():
+    assert toxicity.Scorer(toxicity.fit(["a b"], [0])).score("a b. c")[0] < 1e-6
+
+
+def test_held_out_rows_are_told_apart(spark):
+    docs, labels = (spark.read.parquet(f"{MIDDLE}/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    rows = registry.op9_toxicity(spark, MIDDLE).collect()
+    assert len(rows) == docs.count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    test = [r for r in rows if r.held_out and truth.get(r.doc_id) is not None]
+    assert sum(r.predicted == truth[r.doc_id] for r in test) / len(test) > 0.9
+    high = [r.score for r in test if truth[r.doc_id] == 1]
+    low = [r.score for r in test if truth[r.doc_id] == 0]
+    assert sum(h > x for h in high for x in low) / (len(high) * len(low)) > 0.9
+
+
+def test_labels_of_held_out_rows_do_not_matter(spark):
+    docs, labels = (spark.read.parquet(f"{MIDDLE}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels, 50, 100)
+    turned = labels.selectExpr("doc_id", "quality", "IF(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 = 0, 1 - toxic, toxic) AS toxic")
+    again = toxicity.train(docs, turned, 50, 100)
+    assert model.bias == pytest.approx(again.bias, abs=1e-9) and model.weights.keys() == again.weights.keys()
+
+
+def test_edges(spark, edges, none):
+    model = toxicity.fit(["good day", "foul foulness foul", "good night", "foul foulest"] * 5, [0, 1, 0, 1] * 5)
+    got = toxicity.score(edges.selectExpr("*", "1 AS toxicity"), model)
+    assert got.columns == [*edges.columns, "toxicity", "offending"] and got.count() == edges.count()
+    assert all(r.toxicity == 0 for r in got.where("doc_id IN (3, 4, 5)").collect())
+    assert toxicity.score(none, model).count() == 0
+    nobody = spark.createDataFrame([(None, 1), (1, None)], "doc_id bigint, toxic int")
+    assert toxicity.train(edges, nobody).weights == {}

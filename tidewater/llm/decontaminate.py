@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import ship
+from tidewater.llm.common import fresh, ship
 
 SIMILARITY = 0.8
 BLOCK_BYTES = 8 << 20
@@ -163,5 +163,6 @@ def _searcher(sent, similarity: float):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents in which no item occurs, with all their columns."""
-    hits = find_items(docs, benchmark, similarity).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    hit = fresh(docs, "hit")
+    hits = find_items(docs, benchmark, similarity).select(F.col("doc_id").alias(hit)).distinct()
+    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col(hit)), "left_anti")

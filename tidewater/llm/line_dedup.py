@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import settle, ship
+from tidewater.llm.common import fresh, settle, ship
 
 RARE, WORDS, NEXT = 1000, 8, 3
 NO_ID = (1 << 63) - 1
@@ -144,8 +144,9 @@ def line_dedup(docs: DataFrame, rare: int = RARE) -> DataFrame:
     """The documents without the lines deleted; adds deleted (places, null if none), and sources."""
     docs = docs.drop("deleted", "sources")
     fate = settle(overlaps(docs, rare), "deleted")
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_version", F.xxhash64("text"))
-    joined = keyed.join(fate.select(F.col("id").alias("_id"), F.col("version").alias("_version"), "deleted", "sources"), ["_id", "_version"], "left")
+    i, v = fresh(docs, "line_id"), fresh(docs, "line_version")
+    keyed = docs.withColumn(i, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(v, F.xxhash64("text"))
+    joined = keyed.join(fate.select(F.col("id").alias(i), F.col("version").alias(v), "deleted", "sources").hint("merge"), [i, v], "left")
     joined = joined.select(*[keyed[n] for n in docs.columns], "deleted", "sources")
     names = joined.columns
 

@@ -11,7 +11,7 @@ The only thing the driver gathers is a count and a size per bucket.
 Defined results:
   null text         written as null; its size is the 8 bytes every record has
   repeated rows     rows equal in doc_id and text fall in one bucket; where that makes a
-                    bucket twice too large, every record is scattered by its place in the
+                    bucket far too large, every record is scattered by its place in the
                     input too, so no bucket outgrows memory
   very long texts   a bucket is as large as its records; one record is never split
   empty table       no rows, no files
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import ship
+from tidewater.llm.common import fresh, ship
 
 RECORD_BYTES = 8
 
@@ -38,29 +38,32 @@ def record_size(text):
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + RECORD_BYTES
 
 
-def _scattered(docs: DataFrame, seed: int, buckets: int, salted: bool) -> DataFrame:
+def _mixed(seed: int, salted: bool):
     place = [F.monotonically_increasing_id()] if salted else []
-    mixed = F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text"), *place)
-    return docs.withColumn("_mixed", mixed).withColumn("_bucket", F.pmod("_mixed", F.lit(buckets)).cast("int"))
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text"), *place)
 
 
-def _counts(scattered: DataFrame) -> dict[int, tuple[int, int]]:
-    rows = scattered.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(record_size(F.col("text"))).alias("b")).collect()
-    return {r["_bucket"]: (r["n"], r["b"]) for r in rows}
+def _counts(docs: DataFrame, mixed, buckets: int) -> dict[int, tuple[int, int]]:
+    sized = docs.select(F.pmod(mixed, F.lit(buckets)).cast("int").alias("bucket"), record_size(F.col("text")).alias("bytes"))
+    rows = sized.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b")).collect()
+    return {r["bucket"]: (r["n"], r["b"]) for r in rows}
 
 
 def shuffle(docs: DataFrame, path: str, shards: int = 24, seed: int = 20, bucket_bytes: int = 32 << 20) -> DataFrame:
     """Writes the shards to path/shard=K as Parquet in slot order; returns the written table with shard and slot."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.drop("shard", "slot", "_mixed", "_bucket")
-    total = docs.agg(F.sum(record_size(F.col("text")))).first()[0] or 0
+    docs = docs.drop("shard", "slot")
+    mix, bucket_name = fresh(docs, "mix"), fresh(docs, "bucket")
+    sizes = docs.agg(F.sum(record_size(F.col("text"))), F.max(record_size(F.col("text")))).first()
+    total, largest = sizes[0] or 0, sizes[1] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    scattered = _scattered(docs, seed, buckets, False)
-    counts = _counts(scattered)
-    if buckets > 1 and max(b for _, b in counts.values()) > 2 * bucket_bytes:
-        scattered = _scattered(docs, seed, buckets, True)
-        counts = _counts(scattered)
+    mixed = _mixed(seed, False)
+    counts = _counts(docs, mixed, buckets)
+    if buckets > 1 and max(b for _, b in counts.values()) > 2 * bucket_bytes + 4 * largest:
+        mixed = _mixed(seed, True)
+        counts = _counts(docs, mixed, buckets)
+    scattered = docs.withColumn(mix, mixed).withColumn(bucket_name, F.pmod(mix, F.lit(buckets)).cast("int"))
     rows = sum(n for n, _ in counts.values())
     starts = dict(zip(range(buckets), accumulate((counts.get(b, (0, 0))[0] for b in range(buckets)), initial=0)))
     firsts = np.array([-(-s * rows // shards) for s in range(shards + 1)], dtype=np.int64)
@@ -69,7 +72,7 @@ def shuffle(docs: DataFrame, path: str, shards: int = 24, seed: int = 20, bucket
     def fisher_yates(key, bucket):
         b = key[0].as_py()
         bucket = bucket.combine_chunks()
-        keys = pa.table({"m": bucket["_mixed"], "i": bucket["doc_id"], "t": pc.binary_length(bucket["text"])})
+        keys = pa.table({"m": bucket[mix], "i": bucket["doc_id"], "t": pc.binary_length(bucket["text"])})
         order = pc.sort_indices(keys, sort_keys=[("m", "ascending"), ("i", "ascending"), ("t", "ascending")]).to_pylist()
         random = np.random.default_rng([seed, b])
         below = (random.random(len(order) - 1) * np.arange(len(order), 1, -1)).astype(np.int64).tolist()
@@ -77,12 +80,12 @@ def shuffle(docs: DataFrame, path: str, shards: int = 24, seed: int = 20, bucket
             order[i], order[j] = order[j], order[i]
         at = starts[b] + np.arange(len(order), dtype=np.int64)
         shard = np.searchsorted(firsts, at, side="right") - 1
-        out = bucket.drop(["_mixed", "_bucket"]).take(pa.array(order))
+        out = bucket.drop([mix, bucket_name]).take(pa.array(order))
         return out.append_column("shard", pa.array(shard, pa.int32())).append_column("slot", pa.array(at - firsts[shard], pa.int64()))
 
-    shuffled = scattered.groupBy("_bucket").applyInArrow(fisher_yates, schema)
+    shuffled = scattered.groupBy(bucket_name).applyInArrow(fisher_yates, schema)
     shuffled.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 def digests(sharded: DataFrame) -> DataFrame:

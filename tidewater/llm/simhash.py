@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import settle, ship
+from tidewater.llm.common import fresh, settle, ship
 from tidewater.llm.components import components
 
 MAX_BITS = 2
@@ -247,17 +247,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = MAX_BITS, split
 def keep_first(docs: DataFrame, words: int = 5, most: int = MAX_BITS) -> DataFrame:
     """docs, of each component the row with the smallest doc_id; all columns are kept.
 
+    docs must give the same rows in the same order each time, as tables read from files do.
     Rows without an id are kept only where their component has no id at all, and then, as
     where the smallest id repeats, one of them stays: the first by its text and the order of
     the input's files.
     """
     spark = docs.sparkSession
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    place = fresh(docs, "place")
+    numbered = docs.withColumn(place, F.monotonically_increasing_id())
     ship(spark)
-    marked = settle(_with_fp(numbered.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("_row").alias("row")), words), "fingerprints")
+    marked = settle(_with_fp(numbered.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(place).alias("row")), words), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     distinct = settle(marked.groupBy("fp").agg(first), "distinct")
     labels = components(links(distinct.select("fp"), most)).withColumnRenamed("node", "fp")
     groups = distinct.join(labels, "fp", "left").groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("first").alias("first"))
-    stays = settle(groups.select(F.col("first.row").alias("_row")), "stays")
-    return numbered.join(stays.hint("merge"), "_row", "left_semi").drop("_row")
+    stays = settle(groups.select(F.col("first.row").alias(place)), "stays")
+    return numbered.join(stays.hint("merge"), place, "left_semi").drop(place)

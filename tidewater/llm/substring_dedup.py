@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import settle, ship
+from tidewater.llm.common import fresh, settle, ship
 
 LEAST, MOST, BITS, RUN = 16, 256, 5, 128
 NO_ID = (1 << 63) - 1
@@ -117,15 +117,15 @@ def _spans(rows: list) -> pa.RecordBatch:
 
 def cut(docs: DataFrame, least: int = RUN) -> DataFrame:
     """The documents with their repeated passages cut out; all columns are kept."""
-    spans = repeats(docs, least).groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    texts = docs.groupBy(F.col("doc_id").alias("_id")).agg((F.min(F.xxhash64("text")) == F.max(F.xxhash64("text"))).alias("_one"))
-    spans = spans.join(texts.where("_one"), F.col("_id").eqNullSafe(texts["_id"])).select(spans["_id"], "_spans")
-    names = docs.columns
+    names, i, held = docs.columns, fresh(docs, "span_id"), fresh(docs, "spans")
+    spans = repeats(docs, least).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("places"))
+    texts = docs.groupBy("doc_id").agg((F.min(F.xxhash64("text")) == F.max(F.xxhash64("text"))).alias("one")).where("one")
+    spans = spans.join(texts.select(F.col("doc_id").alias("same")), F.col("doc_id").eqNullSafe(F.col("same"))).select(F.col("doc_id").alias(i), F.col("places").alias(held))
 
     def run(batches):
         for batch in batches:
             out = []
-            for text, places in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist()):
+            for text, places in zip(batch.column("text").to_pylist(), batch.column(held).to_pylist()):
                 if places:
                     data, last, kept = text.encode(), 0, []
                     for p in places:
@@ -135,5 +135,4 @@ def cut(docs: DataFrame, least: int = RUN) -> DataFrame:
                 out.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in names], names)
 
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_id"]), "left")
-    return joined.select(*[docs[n] for n in names], "_spans").mapInArrow(run, docs.schema)
+    return docs.join(spans, F.col("doc_id").eqNullSafe(F.col(i)), "left").drop(i).mapInArrow(run, docs.schema)
