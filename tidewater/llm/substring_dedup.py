@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import fresh, settle, ship
 
-LEAST, MOST, BITS, RUN = 16, 256, 5, 128
+LEAST, MOST, BITS, RUN = 16, 256, 4, 128
 NO_ID = (1 << 63) - 1
 SPANS = "doc_id long, start int, end int, first_ids array<long>"
 _GEAR = np.random.default_rng(0x6EA2).integers(0, 1 << 16, size=256, dtype=np.uint16)
