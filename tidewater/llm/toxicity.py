@@ -76,12 +76,12 @@ def fit(texts: list[str], labels: list[int], turns: int = 200, rate: float = 0.1
     if not any(labels):
         return Model({}, -50.0)
     vocabulary: dict[str, int] = {}
-    word_of, sentence_of, doc_of = [], [], []
+    word_of, sentence_of, doc_of = array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
         for s in sentences(text):
             if words := dict.fromkeys(s.split()):
-                sentence_of += [len(doc_of)] * len(words)
-                word_of += [vocabulary.setdefault(w, len(vocabulary)) for w in words]
+                sentence_of.extend([len(doc_of)] * len(words))
+                word_of.extend([vocabulary.setdefault(w, len(vocabulary)) for w in words])
                 doc_of.append(d)
     number: dict[str, int] = {}
     grams, sizes = array("i"), array("i")
@@ -89,15 +89,19 @@ def fit(texts: list[str], labels: list[int], turns: int = 200, rate: float = 0.1
         own = features(w)
         sizes.append(len(own))
         grams.extend([number.setdefault(g, len(number)) for g in own])
-    sizes, gram, words = np.array(sizes), np.array(grams, dtype=np.int64), len(vocabulary)
-    owner = np.repeat(np.arange(words), sizes)
+    sizes, gram, words = np.array(sizes), np.frombuffer(grams, dtype=np.int32), len(vocabulary)
+    owner = np.repeat(np.arange(words, dtype=np.int32), sizes)
     size = np.sqrt(np.maximum(1, sizes))
-    word_of, sentence_of, doc_of, y = (np.array(x, dtype=np.int64) for x in (word_of, sentence_of, doc_of, labels))
+    word_of, sentence_of, doc_of, y = (np.array(x, dtype=np.int32) for x in (word_of, sentence_of, doc_of, labels))
 
-    held = np.unique(doc_of[sentence_of] * words + word_of)  # each word once a document
+    held = np.unique(doc_of[sentence_of].astype(np.int64) * words + word_of)  # each word once a document
     in_toxic = y[held // words] == 1
     many = [np.bincount(held[mask] % words, minlength=words) for mask in (in_toxic, ~in_toxic)]
-    toxic, other = (np.bincount(gram, n[owner], minlength=len(number)) for n in many)
+    toxic, other = np.zeros(len(number)), np.zeros(len(number))
+    for i in range(0, len(gram), 1 << 20):  # in parts, for the driver's memory
+        part, of = gram[i : i + (1 << 20)], owner[i : i + (1 << 20)]
+        for total, n in ((toxic, many[0]), (other, many[1])):
+            total += np.bincount(part, n[of], minlength=len(number))
     share = in_toxic.mean()
     chance = (toxic + other) * share
     chosen = (np.abs(toxic - chance) > SURE * np.sqrt(chance * (1 - share) + 0.25)) & (toxic + other >= LEAST)
