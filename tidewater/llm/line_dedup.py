@@ -54,6 +54,7 @@ def pairs(hashed: DataFrame, rare: int = RARE) -> DataFrame:
     keyed = hashed.select("id", F.explode(F.concat(key(1, single), key(2, in_row), key(3, F.array(whole)))).alias("k")).select("id", "k.kind", "k.key").where("key IS NOT NULL")
     firsts = keyed.groupBy("kind", "key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("holders"))
     firsts = firsts.where((F.col("first") < F.col("last")) & ((F.col("kind") > 1) | (F.col("holders") <= rare))).select("kind", "key", "first")
+    firsts = settle(firsts, "firsts")  # as a table, both sides of the join are plain shuffles, and AQE can split a frequent key
     return keyed.join(firsts.hint("merge"), ["kind", "key"]).where("id > first").select("id", "first").distinct()
 
 
