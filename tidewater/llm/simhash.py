@@ -181,6 +181,7 @@ def links(distinct: DataFrame, most: int = MAX_BITS, split: int = SPLIT) -> Data
     while True:
         keyed = dealt.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"), "fp")
         sizes = keyed.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        sizes = settle(sizes, "sizes")  # as a table, both sides of the join are plain shuffles, and AQE can split a large bucket
         shared = settle(keyed.join(sizes.hint("merge"), ["mask", "bits"]), "buckets")
         last = 64 - min(m.bit_count() for m in level) <= FREE
         done = shared if last else shared.where(F.col("size") <= split)

@@ -84,6 +84,7 @@ def repeats(docs: DataFrame, least: int = RUN) -> DataFrame:
     """A row per repeated passage: doc_id, start and end (bytes of the UTF-8 text), first_ids (the documents that its chunks belong to)."""
     found = chunks(docs)
     owners = found.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    owners = settle(owners, "owners")  # as a table, both sides of the join are plain shuffles, and AQE can split a frequent digest
     repeated = settle(found.join(owners.hint("merge"), ["h1", "h2"]).where("id > first").select("id", "at", "first"), "repeats").distinct()
 
     def runs(batches):

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import ship
+from tidewater.llm.common import settle, ship
 
 FRAME, BUNDLE, LEVEL = 1 << 20, 256 << 20, 3
 # Fixed values of the Zstandard seekable format: magic of its skippable frame, magic at the file's end.
@@ -162,6 +162,7 @@ def write(pages: DataFrame, path: str, least: int = 0, frame_bytes: int = FRAME,
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
     first = rows.groupBy("digest").agg(F.min("page_id").alias("first"))
+    first = settle(first, "first")  # as a table, both sides of the join are plain shuffles, and AQE can split a frequent payload
     joined = rows.join(first.hint("merge"), "digest")
     revisit = ~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("payload") >= least)
     decided = joined.select("page_id", "url", "payload", "digest", "first", revisit.alias("revisit"))
