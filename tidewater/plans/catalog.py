@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import extensions, scalar
 from tidewater.operators import relational as ops
 from tidewater.plans.builder import Plan
+from tidewater.scratch import scratch_path
 from tidewater.sources import paged, rowtext, tables, typed_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,12 +29,6 @@ def query(oracle: str | None = None):
     return add
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "tidewater-shared")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def lineitem(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return tables.parquet(spark, sf_dir, "lineitem", columns)
 
@@ -466,14 +458,14 @@ def _suppliers(spark, sf_dir):
 
 @query("SELECT s_suppkey, s_nationkey, s_name FROM supplier")
 def rowtext_round_trip(spark, sf_dir):
-    path = scratch(spark, "rowtext")
+    path = scratch_path(spark, "rowtext")
     rowtext.write(_suppliers(spark, sf_dir), path)
     return rowtext.read(spark, path)
 
 
 @query("SELECT s_suppkey AS my_key, s_name || ', \"' || s_nationkey || '\"' AS name, s_nationkey AS score FROM supplier")
 def csv_scan(spark, sf_dir):
-    path = scratch(spark, "csv")
+    path = scratch_path(spark, "csv")
     rows = ops.project(_suppliers(spark, sf_dir), "s_suppkey AS my_key", "concat(s_name, ', \"', s_nationkey, '\"') AS name", "s_nationkey AS score")
     quoted = ops.project(rows, "concat_ws(',', my_key, concat('\" ', replace(name, '\"', '\"\"'), ' \"'), score) AS value")
     types = tables.values(spark, [("BIGINT,VARCHAR,INTEGER",)], "value string")
@@ -485,7 +477,7 @@ def csv_scan(spark, sf_dir):
 
 @query("SELECT l_orderkey AS id, l_returnflag AS label, l_linenumber AS price FROM lineitem WHERE l_orderkey > 5000 AND l_returnflag <> 'N' AND l_linenumber >= 2")
 def paged_scan_filter(spark, sf_dir):
-    path = scratch(spark, "paged")
+    path = scratch_path(spark, "paged")
     rows = ops.project(lineitem(spark, sf_dir), "l_orderkey AS id", "l_returnflag AS label", "l_linenumber AS price", "l_linestatus AS other")
     paged.write(rows, path, row_group=8192, page=1024)
     found = paged.read(spark, path, columns=["id", "label", "price"])
