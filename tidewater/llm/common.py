@@ -1,55 +1,11 @@
-"""What the training-data operators share: scratch tables and small helpers."""
+"""What the training-data operators share: written tables and small helpers."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.shipping import ship  # noqa: F401  for the operators
-
-#: Scratch folders made by this process, removed when it ends.
-_scratch: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    The cluster names it in spark.checkpoint.dir. Only where that is unset (tests, one
-    machine) a folder of this machine is taken and set on the session.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "tidewater-shared")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under shared_dir(); it goes when this Python process ends."""
-    if not _scratch:
-        atexit.register(_clean)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _scratch.append((spark, path))
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Removes a path through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def _clean() -> None:
-    for spark, path in _scratch:
-        try:
-            drop_path(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone; the folder is the cluster's to clean then
-            return
+from tidewater.scratch import scratch_path, shared_dir  # noqa: F401  for the operators
+from tidewater.shipping import ship  # noqa: F401
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

@@ -40,8 +40,8 @@ MAX_BITS = 2
 SPLIT, FREE = 8192, 16
 #: Children of a node, and fingerprints of a leaf.
 FAN = 8
-#: Queries that walk the tree at a time.
-WALK = 2048
+#: Pairs of a query and a node that a walk down the tree holds at most.
+WALK = 1 << 22
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -122,8 +122,9 @@ class GrayTree:
 
     def search(self, queries: np.ndarray, most: int = MAX_BITS):
         """Yields (query places, found places) for all pairs that differ in at most so many bits."""
-        for first in range(0, len(queries), WALK):
-            part = queries[first : first + WALK]
+        step = max(1, WALK // (FAN * len(self.fps)))
+        for first in range(0, len(queries), step):
+            part = queries[first : first + step]
             who, node, off = np.arange(len(part)), np.zeros(len(part), dtype=np.int64), np.zeros(len(part), dtype=np.uint8)
             for depth, (mask, bits) in enumerate(self.levels):
                 off = off + np.bitwise_count((part[who] ^ bits[node]) & mask[node])
