@@ -1,10 +1,13 @@
+import threading
+import time
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidewater.functions import extensions, scalar
 from tidewater.operators import relational as ops
-from tidewater.plans.builder import Plan, Task
+from tidewater.plans.builder import Plan, Task, TaskCancelled
 from tidewater.sources import rowtext, tables
 
 
@@ -174,3 +177,36 @@ def test_pushdown_and_pruning_reach_the_scan(spark, small):
 
 def test_top_n_does_not_sort_everything(spark, small):
     assert "TakeOrderedAndProject" in Plan(tables.parquet(spark, small, "orders")).top_n(["o_totalprice DESC"], 3).explain()
+
+
+def test_task_can_be_cancelled(spark):
+    def slow(batches):
+        import time
+
+        for batch in batches:
+            time.sleep(0.2)
+            yield batch
+
+    task = Task(spark, lambda _: spark.range(0, 400, 1, 400).mapInArrow(slow, "id bigint"))
+    task.no_more_splits()
+    timer = threading.Timer(2, task.cancel)
+    timer.start()
+    began = time.monotonic()
+    with pytest.raises(TaskCancelled):
+        while task.next() is not None:
+            pass
+    assert time.monotonic() - began < 40
+    assert spark.range(3).count() == 3
+
+
+def test_users_own_operator(spark):
+    def double(batches):
+        for frame in batches:
+            yield frame * 2
+
+    assert rows(Plan(spark.range(3)).apply(lambda df: df.mapInPandas(double, df.schema)).order_by(["id"]).df) == [(0,), (2,), (4,)]
+
+
+def test_registered_function_in_a_filter(spark):
+    extensions.register_function(spark, "half_of", lambda x: x // 2, "bigint")
+    assert rows(ops.where(spark.range(6), "half_of(id) == 2")) == [(4,), (5,)]

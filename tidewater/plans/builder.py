@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import threading
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -58,6 +57,10 @@ class Plan:
         return self.df._sc._jvm.PythonSQLUtils.explainString(self.df._jdf.queryExecution(), mode)
 
 
+class TaskCancelled(RuntimeError):
+    """The task was cancelled."""
+
+
 class Task:
     """Runs a plan over splits that are added one by one, and can be cancelled.
 
@@ -69,7 +72,7 @@ class Task:
         self.spark, self.build = spark, build
         self.splits: list[str] = []
         self.closed = threading.Event()
-        self.tag = f"task-{uuid.uuid4().hex}"
+        self.cancelled = threading.Event()
         self._rows: Iterator[Row] | None = None
 
     def add_split(self, path: str) -> None:
@@ -81,19 +84,17 @@ class Task:
         self.closed.set()
 
     def next(self) -> Row | None:
-        """The next row, None after the last; waits for the splits to be complete."""
+        """The next row, None after the last; waits for the splits to be complete. Raises once the task is cancelled."""
         if self._rows is None:
             self.closed.wait()
-            self._rows = self._run()
-        return next(self._rows, None)
-
-    def _run(self) -> Iterator[Row]:
-        self.spark.addTag(self.tag)
-        try:
-            yield from self.build(self.splits).toLocalIterator()
-        finally:
-            self.spark.removeTag(self.tag)
+            self._rows = self.build(self.splits).toLocalIterator()
+        row = next(self._rows, None)
+        if self.cancelled.is_set():
+            self._rows = None
+            raise TaskCancelled
+        return row
 
     def cancel(self) -> None:
-        """Stops the jobs of this task, from any thread."""
-        self.spark.interruptTag(self.tag)
+        """Ends the task, from any thread. Rows come one partition at a time, so no partition after the current one is begun."""
+        self.cancelled.set()
+        self.closed.set()
