@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import fresh, ship
+from tidewater.llm.common import fresh, settle, ship
 
 RECORD_BYTES = 8
 
@@ -61,13 +61,14 @@ def shuffle(docs: DataFrame, path: str, shards: int = 24, seed: int = 20, bucket
     mixed = _mixed(seed, False)
     counts = _counts(docs, mixed, buckets)
     if buckets > 1 and max(b for _, b in counts.values()) > 2 * bucket_bytes + 4 * largest:
-        mixed = _mixed(seed, True)
+        docs = settle(docs.withColumn(mix, _mixed(seed, True)), "salted")  # written, as the places of a second scan could differ
+        mixed = F.col(mix)
         counts = _counts(docs, mixed, buckets)
     scattered = docs.withColumn(mix, mixed).withColumn(bucket_name, F.pmod(mix, F.lit(buckets)).cast("int"))
     rows = sum(n for n, _ in counts.values())
     starts = dict(zip(range(buckets), accumulate((counts.get(b, (0, 0))[0] for b in range(buckets)), initial=0)))
     firsts = np.array([-(-s * rows // shards) for s in range(shards + 1)], dtype=np.int64)
-    schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name != mix), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
     def fisher_yates(key, bucket):
         b = key[0].as_py()

@@ -249,14 +249,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = MAX_BITS, split
 def keep_first(docs: DataFrame, words: int = 5, most: int = MAX_BITS) -> DataFrame:
     """docs, of each component the row with the smallest doc_id; all columns are kept.
 
-    docs must give the same rows in the same order each time, as tables read from files do.
     Rows without an id are kept only where their component has no id at all, and then, as
-    where the smallest id repeats, one of them stays: the first by its text and the order of
-    the input's files.
+    where the smallest id repeats, one of them stays: the first in the order of the input.
     """
     spark = docs.sparkSession
     place = fresh(docs, "place")
-    numbered = docs.withColumn(place, F.monotonically_increasing_id())
+    numbered = settle(docs.withColumn(place, F.monotonically_increasing_id()), "numbered")  # written, as the numbers of a second scan could differ
     ship(spark)
     marked = settle(_with_fp(numbered.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(place).alias("row")), words), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
