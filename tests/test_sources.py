@@ -5,6 +5,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from tidewater import scratch
 from tidewater.sources import paged, paged_format, registry, rowtext, tables, typed_csv
 from tidewater.streaming import splits
 
@@ -171,3 +172,15 @@ def test_arriving_splits(spark, tmp_path):
     spark.range(2).selectExpr("id AS k", "100 + id AS v").write.mode("append").parquet(folder)
     splits.drain(running, str(tmp_path / "state"), lambda batch, n: out.append(bag(batch)))
     assert out[-1] == [(0, 120), (1, 126)]
+
+
+def test_shared_folder_is_the_cluster_s_or_a_local_one(spark):
+    named = scratch.shared_dir(spark)
+    assert named.startswith("file:///") and scratch.scratch_path(spark, "x").startswith(f"{named}/x-")
+
+    class Unset:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = spark.sparkContext  # noqa: N815
+
+    assert scratch.shared_dir(Unset).endswith("/tidewater-shared")
+    assert scratch.qualified(spark, "/tmp/a") == "file:///tmp/a" and scratch.qualified(spark, "file:///tmp/b") == "file:///tmp/b"

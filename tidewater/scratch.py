@@ -12,17 +12,21 @@ from pyspark.sql import SparkSession
 _made: list[tuple[SparkSession, str]] = []
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, so that Spark and the tasks' own readers and writers mean the same place."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     The cluster names it in spark.checkpoint.dir. Only where that is unset (tests, one
-    machine) a folder of this machine is taken and set on the session.
+    machine) a folder of this machine is taken.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "tidewater-shared")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tidewater-shared")
+    return qualified(spark, folder).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
