@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewater.operators.relational import plan_bytes
 from tidewater.scratch import scratch_path, shared_dir  # noqa: F401  for the operators
 from tidewater.shipping import ship  # noqa: F401
 
@@ -20,6 +21,21 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Estimated bytes up to which a table in a few files is dealt out before costly work on each row.
+SMALL = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a small table in fewer files than there are cores out to all cores; any other is left as its files are.
+
+    A small file is often one row group, which one task reads. The rows are the same.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if plan_bytes(df) <= SMALL and 0 < len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, whatever the case of its own."""
     taken = {c.lower() for c in df.columns}

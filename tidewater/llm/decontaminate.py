@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import fresh, ship
+from tidewater.llm.common import fresh, ship, spread
 
 SIMILARITY = 0.8
 BLOCK_BYTES = 8 << 20
@@ -144,7 +144,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         sent = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_searcher(sent, similarity), SCHEMA)
+        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(spread).mapInArrow(_searcher(sent, similarity), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import ship
+from tidewater.llm.common import ship, spread
 
 MARK = "▁"
 #: Words, chunks of words and pairs of pieces that one worker remembers.
@@ -277,7 +277,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids",
                     batch = _put(batch, decoded, pa.array([code.decode(list(memoryview(part).cast("i"))) for part in parts], pa.string()))
                 yield batch
 
-    return docs.mapInArrow(run, schema)
+    return spread(docs).mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded") -> DataFrame:

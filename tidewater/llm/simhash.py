@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import fresh, settle, ship
+from tidewater.llm.common import fresh, settle, ship, spread
 from tidewater.llm.components import components
 
 MAX_BITS = 2
@@ -79,7 +79,7 @@ def _with_fp(docs: DataFrame, words: int) -> DataFrame:
             fps = np.array([fingerprint(x.as_py(), words) for x in texts], dtype=np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(fps)], [*names, "fp"])
 
-    return docs.mapInArrow(run, T.StructType([*(docs.schema[n] for n in names), T.StructField("fp", T.LongType())]))
+    return spread(docs).mapInArrow(run, T.StructType([*(docs.schema[n] for n in names), T.StructField("fp", T.LongType())]))
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import fresh, settle, ship
+from tidewater.llm.common import fresh, settle, ship, spread
 
 LEAST, MOST, BITS, RUN = 16, 256, 4, 128
 NO_ID = (1 << 63) - 1
@@ -77,7 +77,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (owner, digest[:, 0], digest[:, 1], np.array(places, dtype=np.int64))], ["id", "h1", "h2", "at"])
 
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
-    return keyed.mapInArrow(run, "id long, h1 long, h2 long, at long")
+    return spread(keyed).mapInArrow(run, "id long, h1 long, h2 long, at long")
 
 
 def repeats(docs: DataFrame, least: int = RUN) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import ship
+from tidewater.llm.common import ship, spread
 
 POSITIVE, NEGATIVE, LONGEST = 1500, 3000, 1 << 16
 GRAMS = (3, 4, 5)
@@ -202,4 +202,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             columns = [*batch.columns, pa.array([p for p, _ in found], pa.float64()), pa.array([x for _, x in found], kind)]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "toxicity", "offending"])
 
-    return docs.mapInArrow(run, schema)
+    return spread(docs).mapInArrow(run, schema)
