@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewater.llm import similar
 from tidewater.llm.common import fresh, settle, ship, spread
 from tidewater.llm.components import components
 
@@ -45,14 +46,12 @@ WALK = 1 << 22
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: bytes | None, words: int = 3) -> int:
-    """The SimHash of a UTF-8 text."""
+def shingles(text: bytes | None, words: int) -> np.ndarray:
+    """The hashes of a UTF-8 text's shingles, repeated ones too."""
     parts = text.translate(_LOWER).split() if text else []
-    if not parts:
-        return 0
     line = b" ".join(parts)
     if len(parts) <= words:
-        hashes = [xxhash.xxh64_intdigest(line, 42)]
+        hashes = [xxhash.xxh64_intdigest(line, 42)] if parts else []
     else:
         ends, at = [], -1
         for p in parts:
@@ -61,11 +60,19 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
         begins = [0, *(e + 1 for e in ends[:-1])]
         digest = xxhash.xxh64_intdigest
         hashes = [digest(line[b:e], 42) for b, e in zip(begins, ends[words - 1 :])]
+    return np.array(hashes, dtype="<u8")
+
+
+def _voted(bits: np.ndarray) -> int:
     votes = np.zeros(64, dtype=np.int64)
-    bits = np.array(hashes, dtype="<u8")
     for i in range(0, len(bits), 1 << 16):
         votes += np.unpackbits(bits[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > len(hashes), bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(votes * 2 > len(bits), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: bytes | None, words: int = 3) -> int:
+    """The SimHash of a UTF-8 text."""
+    return _voted(shingles(text, words))
 
 
 def _with_fp(docs: DataFrame, words: int) -> DataFrame:
@@ -246,9 +253,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = MAX_BITS, split
     return marked.join(fate.hint("merge"), "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, words: int = 5, most: int = MAX_BITS) -> DataFrame:
+def keep_first(docs: DataFrame, words: int = 5, most: int = MAX_BITS, similarity: float | None = None) -> DataFrame:
     """docs, of each component the row with the smallest doc_id; all columns are kept.
 
+    With a similarity, documents whose shingle sets are at least so similar are linked as well,
+    however many bits their fingerprints differ in.
+
     Rows without an id are kept only where their component has no id at all, and then, as
     where the smallest id repeats, one of them stays: the first in the order of the input.
     """
@@ -256,10 +266,14 @@ def keep_first(docs: DataFrame, words: int = 5, most: int = MAX_BITS) -> DataFra
     place = fresh(docs, "place")
     numbered = settle(docs.withColumn(place, F.monotonically_increasing_id()), "numbered")  # written, as the numbers of a second scan could differ
     ship(spark)
-    marked = settle(_with_fp(numbered.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(place).alias("row")), words), "fingerprints")
+    texts = numbered.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(place).alias("row"))
+    marked = settle(_with_fp(texts, words) if similarity is None else similar.signed(texts, words), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     distinct = settle(marked.groupBy("fp").agg(first), "distinct")
-    labels = components(links(distinct.select("fp"), most)).withColumnRenamed("node", "fp")
+    edges = links(distinct.select("fp"), most)
+    if similarity is not None:
+        edges = edges.unionByName(similar.links(marked, texts.select("row", "text"), words, similarity))
+    labels = components(edges).withColumnRenamed("node", "fp")
     groups = distinct.join(labels, "fp", "left").groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("first").alias("first"))
     stays = settle(groups.select(F.col("first.row").alias(place)), "stays")
     return numbered.join(stays.hint("merge"), place, "left_semi").drop(place)
