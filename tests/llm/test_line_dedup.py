@@ -61,6 +61,11 @@ def test_frequent_lines_alone_make_no_pair(spark):
     assert kept(docs(spark, rows), rare=10) == {i: text(0, 100 + i) if i == 0 else text(100 + i) for i in range(10)}
 
 
+def test_frequent_lines_go_by_default(spark):
+    rows = [(i, text(0, 100 + i)) for i in range(1200)]
+    assert kept(docs(spark, rows)) == {i: text(0, 100 + i) if i == 0 else text(100 + i) for i in range(1200)}
+
+
 def test_large_groups_of_copies_are_cut_by_rows_of_lines(spark):
     rows = [(i, text(1, 2, 3, 4, 1000 + i)) for i in range(40)] + [(100 + i, text(7)) for i in range(40)]
     got = kept(docs(spark, rows), rare=5)

@@ -1,9 +1,9 @@
 """Line deduplication by pairwise alignment.
 
-Lines are compared by the hash of the trimmed line. Two documents overlap if they share a rare
-line (held by at most RARE documents' lines), three lines in a row, or all their lines; lines
-of fewer than WORDS words prove nothing. Each shared key links its holders to its first holder
-(the smallest doc_id), so a group of n documents gives n pairs, not n * n. A pair is aligned by
+Lines are compared by the hash of the trimmed line. Two documents overlap if they share a line,
+three lines in a row, or all their lines; lines of fewer than WORDS words prove nothing. Each
+shared key links its holders to its first holder (the smallest doc_id), so a group of n documents
+gives n pairs, not n * n, and a line may be as frequent as it likes (RARE is no limit by default). A pair is aligned by
 patience diff: lines that occur once in both, in their longest increasing order, are the fixed
 points, and equal lines next to them join the block. Common blocks that hold a line of at least
 WORDS words are deleted from the later document; its earlier partner is left alone.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import fresh, settle, ship
 
-RARE, WORDS, NEXT = 1000, 8, 3
+RARE, WORDS, NEXT = (1 << 63) - 1, 8, 3
 NO_ID = (1 << 63) - 1
 
 
