@@ -62,3 +62,18 @@ def test_edges(spark, edges, none):
     assert toxicity.score(none, model).count() == 0
     nobody = spark.createDataFrame([(None, 1), (1, None)], "doc_id bigint, toxic int")
     assert toxicity.train(edges, nobody).weights == {}
+
+
+def test_length_alone_makes_no_document_toxic(spark):
+    docs, labels = (spark.read.parquet(f"{MIDDLE}/{t}.parquet") for t in ("documents", "labels"))
+    use = toxicity.Scorer(toxicity.train(docs, labels))
+    rows = docs.join(labels, "doc_id").where("text <> ''").orderBy("doc_id").collect()
+    clean = [r.text for r in rows if r.toxic == 0 and use.score(r.text)[0] < 0.1]
+    foul = next(r.text for r in rows if r.toxic == 1 and use.score(r.text)[0] > 0.9)
+    whole = "\n".join(clean)
+    whole *= 1 + (2 << 20) // len(whole)
+    for size in (100_000, 500_000, 1 << 20, 2 << 20):
+        assert use.score(whole[:size])[0] < 0.5
+        assert use.score(f"{whole[:size // 2]}\n{foul}\n{whole[size // 2 : size]}")[0] > 0.9
+    for wide in (whole[: 1 << 20].translate(dict.fromkeys(map(ord, ".!?\n"), " ")), "".join(whole[: 1 << 20].split())):
+        assert "".join(toxicity.sentences(wide)) == wide and max(map(len, toxicity.sentences(wide))) <= toxicity.WIDEST

@@ -5,6 +5,11 @@ is the logistic function of a bias plus the weights of its different words. A wo
 the weights of its features, character n-grams of the word with its borders and the word
 itself. Only labels of documents are seen; the weights say which sentences offend.
 
+Noisy-or over more sentences than documents of the training have would grow with mere length. So the
+model learns how many sentences (reach) 90 % of them have at most, and a longer document's probability
+is the greatest among its stretches of that many consecutive sentences, wherever they begin. A part
+without a mark of its end is cut after at most WIDEST characters, between words where there are some.
+
 Training takes a bounded sample of labelled rows (POSITIVE toxic and NEGATIVE other ones, those
 whose hashed id comes first, of texts up to LONGEST bytes) to the driver. Scoring covers every
 whole text, without a shuffle; a worker remembers the weights of up to WORDS words.
@@ -21,6 +26,7 @@ import hashlib
 import math
 import re
 from array import array
+from collections import deque
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,16 +40,18 @@ from tidewater.llm.common import ship, spread
 POSITIVE, NEGATIVE, LONGEST = 1500, 3000, 1 << 16
 GRAMS = (3, 4, 5)
 SURE, LEAST = 4.5, 5
-WORDS = 400_000
+WORDS, WIDEST = 400_000, 1000
 OFFENDING = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
+_WIDE = re.compile(rf"(?s).{{1,{WIDEST}}}\Z|.{{1,{WIDEST - 1}}}\s|.{{1,{WIDEST}}}")
 _PLAIN = re.compile(r"[\W_]+")
 _scorers: dict[str, Scorer] = {}
 
 
 def sentences(text: str) -> list[str]:
-    """Consecutive parts that make up the text, each up to a full stop, mark or line end."""
-    return _SENTENCE.findall(text)
+    """Consecutive parts that make up the text, each up to a full stop, mark or line end, or of WIDEST characters."""
+    found = _SENTENCE.findall(text)
+    return [p for s in found for p in ([s] if len(s) <= WIDEST else _WIDE.findall(s))]
 
 
 def features(word: str) -> list[str]:
@@ -61,9 +69,11 @@ class Model:
 
     weights: dict[str, float]
     bias: float
+    #: Sentences over which noisy-or goes.
+    reach: int = 1
 
     def key(self) -> str:
-        return hashlib.sha256(repr((sorted(self.weights.items()), self.bias)).encode()).hexdigest()
+        return hashlib.sha256(repr((sorted(self.weights.items()), self.bias, self.reach)).encode()).hexdigest()
 
 
 def fit(texts: list[str], labels: list[int], turns: int = 200, rate: float = 0.1, ridge: float = 1e-4) -> Model:
@@ -83,6 +93,7 @@ def fit(texts: list[str], labels: list[int], turns: int = 200, rate: float = 0.1
                 sentence_of.extend([len(doc_of)] * len(words))
                 word_of.extend([vocabulary.setdefault(w, len(vocabulary)) for w in words])
                 doc_of.append(d)
+    reach = int(np.percentile(np.bincount(np.array(doc_of, dtype=np.int32)), 90)) if doc_of else 1
     number: dict[str, int] = {}
     grams, sizes = array("i"), array("i")
     for w in vocabulary:
@@ -130,7 +141,7 @@ def fit(texts: list[str], labels: list[int], turns: int = 200, rate: float = 0.1
         weights = weights - rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8)
         bias -= rate * (mb / (1 - 0.9**turn)) / (math.sqrt(vb / (1 - 0.99**turn)) + 1e-8)
     names = list(number)
-    return Model({names[k]: float(w) for k, w in zip(kinds, weights)}, float(bias))
+    return Model({names[k]: float(w) for k, w in zip(kinds, weights)}, float(bias), max(1, reach))
 
 
 class Scorer(dict):
@@ -138,7 +149,7 @@ class Scorer(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.weights, self.bias = model.weights, model.bias
+        self.weights, self.bias, self.reach = model.weights, model.bias, model.reach
 
     def __missing__(self, word: str) -> float:
         if len(self) >= WORDS:
@@ -149,16 +160,21 @@ class Scorer(dict):
 
     def score(self, text: str | None) -> tuple[float, list[dict]]:
         """The document's probability, and place and probability of each sentence at 0.5 or more."""
-        total, at, found = 0.0, 0, []
+        total, most, at, found = 0.0, 0.0, 0, []
+        stretch: deque[float] = deque()
         weight = self.__getitem__
         for s in sentences(text) if text else []:
             if words := dict.fromkeys(s.split()):
                 z = self.bias + sum(map(weight, words))
-                total += math.log1p(math.exp(z)) if z < 30 else z
+                stretch.append(math.log1p(math.exp(z)) if z < 30 else z)
+                total += stretch[-1]
+                if len(stretch) > self.reach:
+                    total -= stretch.popleft()
+                most = max(most, total)
                 if z >= 0:
                     found.append({"start": at, "end": at + len(s), "score": 1 / (1 + math.exp(-z))})
             at += len(s)
-        return -math.expm1(-total), found
+        return -math.expm1(-most), found
 
 
 def scorer(model: Model, key: str) -> Scorer:
