@@ -112,3 +112,12 @@ def test_edges(spark, edges, none):
     assert decontaminate.find_items(none, bench).count() == 0
     assert decontaminate.find_items(edges, bench.where("item_id > 9")).count() == 0
     assert decontaminate.decontaminate(edges, bench.where("item_id > 9")).count() == edges.count()
+
+
+def test_only_rows_that_hold_an_item_go(spark):
+    bench = spark.createDataFrame([(1, "a second line that has some more words"), (2, "one more item of six words")], "item_id bigint, text string")
+    rows = [(None, "clean"), (None, "with a second line that has some more words in it"), (None, None), (1, "clean too"), (1, "one more item of six words"), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for size in (decontaminate.BLOCK_BYTES, 30):
+        got = [tuple(r) for r in decontaminate.decontaminate(docs, bench, block_bytes=size).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, [rows[0], rows[2], rows[3], rows[5]]))

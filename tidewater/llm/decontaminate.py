@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import fresh, ship, spread
+from tidewater.llm.common import ship, spread
 
 SIMILARITY = 0.8
 BLOCK_BYTES = 8 << 20
@@ -135,18 +135,22 @@ class Matcher:
 
 def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each occurrence of an item: doc_id, item_id, distance in words, item_words, start and end (characters of the text)."""
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
+    out = None
+    for sent in _sent(benchmark, block_bytes):
+        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(spread).mapInArrow(_searcher(sent, similarity), SCHEMA)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _sent(benchmark: DataFrame, block_bytes: int):
+    """Yields the blocks of items, each sent to the executors."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-2 * total // block_bytes))
-    out = None
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        sent = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(spread).mapInArrow(_searcher(sent, similarity), SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
 
 
 def _searcher(sent, similarity: float):
@@ -161,8 +165,19 @@ def _searcher(sent, similarity: float):
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents in which no item occurs, with all their columns."""
-    hit = fresh(docs, "hit")
-    hits = find_items(docs, benchmark, similarity).select(F.col("doc_id").alias(hit)).distinct()
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col(hit)), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows whose own text holds no item, with all their columns."""
+    ship(docs.sparkSession)
+    out = docs.transform(spread)
+    for sent in _sent(benchmark, block_bytes):
+        out = out.mapInArrow(_cleaner(sent, similarity), docs.schema)
+    return out
+
+
+def _cleaner(sent, similarity: float):
+    def run(batches):
+        matcher = Matcher(sent.value, similarity)
+        for batch in batches:
+            yield batch.filter(pa.array([not matcher.find(t.as_py()) for t in batch.column("text").cast(pa.string())], pa.bool_()))
+
+    return run
