@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.operators.relational import plan_bytes
@@ -46,3 +48,18 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_held: dict = {}
+
+
+def held(key=None, make: Callable | None = None):
+    """What a Python worker keeps between tasks: one thing, made when a task first asks for it.
+
+    Another key, or none, lets go of it, so the memory of one operator isn't held through the next one's stages.
+    """
+    if key is None or key not in _held:
+        _held.clear()
+        if key is not None:
+            _held[key] = make()
+    return _held.get(key)
