@@ -1,5 +1,6 @@
 import threading
 import time
+from decimal import Decimal
 
 import pytest
 from pyspark.errors import PySparkException
@@ -129,6 +130,34 @@ def test_arithmetic(spark):
             df.select(bad).collect()
 
 
+def test_arithmetic_on_doubles(spark):
+    df = tables.values(spark, [(2**31 - 1, 1.5, 0.75)], "i int, d double, e double")
+    got = df.select(scalar.plus("d", "e"), scalar.minus("d", "e"), scalar.multiply("d", "e"), scalar.plus("i", "d"), scalar.multiply("i", "i"))
+    assert tuple(got.first()) == (2.25, 0.75, 1.125, 2**31 + 0.5, (2**31 - 1) ** 2)
+    assert [t for _, t in got.dtypes] == ["double"] * 4 + ["bigint"]
+
+
+def test_expressions_as_text(spark):
+    df = tables.values(spark, [(2**31 - 1, 7.9, "ab", None, [1, 2, 3])], "i int, d double, s string, n int, `an array` array<int>")
+    wanted = {
+        "i + 1": 2**31, "plus(i, i)": 2**32 - 2, "minus(0, i) * 2": -(2**32) + 2, "-i": 1 - 2**31, "d % 2": 1, "mod(d, 2)": 1, "i / 2": (2**31 - 1) / 2, "d + 1": 8.9, "2 + 3 * 4 - 1": 13, "(2 + 3) * 4": 20,
+        "substr(s, 0, 2)": "", "substr(s, 2, 0 - 1)": "b", "SUBSTR(s, 1, 9)": "ab", "i > 1": 1, "eq(s, 'ab')": 1, "(i > 1) + (d > 9)": 1, "n IS NULL": 1, "n is not null": 0, "i in (1, 2)": 0, "d between 7 and 8": 1,
+        "not d > 7": 0, "s like 'a%'": 1, "s not like 'a%'": 0, "CASE WHEN d < 1 THEN 'x' ELSE upper(s) END": "AB", "case s when 'ab' then 1.5 end": 1.5, "cast(d as int)": 7, "CAST(d AS DECIMAL(4, 2))": Decimal("7.90"),
+        "transform(`an array`, x -> x * 2)": [2, 4, 6], "filter(`an array`, (x, k) -> x > 1 and k < 2)": [2], "size(`an array`)": 3, "'it''s'": "it's", "null": None, "d > 7 or n > 1 and false": 1, "1": 1, "0.5": 0.5, "1e3": 1000.0, ".5D": 0.5, "2L + 1": 3,
+        "datediff(DATE '2020-01-03', DATE '2020-01-01')": 2, "df.i": 2**31 - 1, "neq(i, 2) AND lte(d, 7.9)": 1,
+    }
+    got = ops.project(df.alias("df"), *(f"{t} AS c{k}" for k, t in enumerate(wanted))).first()
+    assert dict(zip(wanted, got)) == wanted
+    assert rows(ops.where(df, "eq(plus(i, 1), 2147483648)", "gt(d, 7)").select("s")) == [("ab",)]
+    assert dict(ops.project(df, "i", "i + 1", "1 AS one").dtypes) == {"i": "int", "i + 1": "bigint", "one": "bigint"}
+
+
+@pytest.mark.parametrize("text", ["", "i +", "(i", "i)", "i AS", "f(i", "case end", "cast(i", "i $ 1", "x -> x", "plus(i)", "i i", "1x", "1.5L", "transform(i, 1)", "in (1)"])
+def test_bad_texts_raise(spark, text):
+    with pytest.raises(PySparkException):
+        ops.project(tables.values(spark, [(1,)], "i int"), text)
+
+
 def test_text_functions(spark):
     df = tables.values(spark, [("straße",)], "s string")
     assert tuple(df.select(scalar.upper_ascii("s"), scalar.capitalise("s"), scalar.substr("s", 5, 2)).first()) == ("STRAßE", "Straße", "ße")
@@ -199,6 +228,69 @@ def test_task_can_be_cancelled(spark):
     assert spark.range(3).count() == 3
 
 
+def test_cancel_interrupts_one_long_partition(spark):
+    def slow(batches):
+        import time
+
+        time.sleep(60)
+        yield from batches
+
+    task = Task(spark, lambda _: spark.range(0, 10, 1, 1).mapInArrow(slow, "id bigint"))
+    task.no_more_splits()
+    threading.Timer(2, task.cancel).start()
+    began = time.monotonic()
+    with pytest.raises(TaskCancelled):
+        task.next()
+    assert time.monotonic() - began < 20
+    with pytest.raises(TaskCancelled):
+        task.next()
+    assert spark.range(3).count() == 3
+
+
+def _split(path, ids):
+    path.write_text("# schema: id:BIGINT\n" + "".join(f"{i}\n" for i in ids))
+    return str(path)
+
+
+def test_each_scan_of_a_task_has_its_own_splits(spark, tmp_path):
+    def build(splits):
+        left, right = (rowtext.read(spark, splits[s]) for s in ("probe", "build"))
+        return ops.hash_join(left, right, ["id"], ["id"], output=["probe.id AS id"])
+
+    task = Task(spark, build, scans=("probe", "build"))
+    task.add_split(_split(tmp_path / "a", [1, 2, 3]), "probe")
+    task.add_split(_split(tmp_path / "b", [4, 5]), "probe")
+    task.no_more_splits("probe")
+    task.add_split(_split(tmp_path / "c", [2, 5, 7]), "build")
+    with pytest.raises(RuntimeError):
+        task.add_split("late", "probe")
+    with pytest.raises(ValueError):
+        task.add_split("lost")
+    task.no_more_splits("build")
+    assert sorted(iter(task.next, None)) == [(2,), (5,)]
+
+
+def test_rows_come_before_the_last_split(spark, tmp_path):
+    task = Task(spark, lambda paths: ops.where(rowtext.read(spark, paths), "id % 2 == 1"), row_by_row=True)
+    task.add_split(_split(tmp_path / "a", [1, 2]))
+    assert tuple(task.next()) == (1,)
+    task.add_split(_split(tmp_path / "b", [4, 5]))
+    assert tuple(task.next()) == (5,)
+    threading.Timer(1, task.no_more_splits).start()
+    assert task.next() is None
+
+
+def test_aggregates_are_found_in_either_case(spark):
+    extensions.register_aggregate("Latest", extensions.Aggregate(lambda x: {"": F.max(x)}, lambda _, s: F.max(s), lambda s: s[""]))
+    df = tables.values(spark, [(1, 5), (1, 9)], "k int, v int")
+    assert rows(ops.aggregate(df, ["k"], ["Latest(v) AS l", "latest(v) AS m"])) == [(1, 9, 9)]
+
+
+def test_gathering_does_not_collapse_the_producers(spark):
+    assert ops.gather(spark.range(0, 100, 1, 8)).rdd.getNumPartitions() == 1
+    assert "Exchange" in Plan(ops.gather(spark.range(0, 100, 1, 8))).explain()
+
+
 def test_users_own_operator(spark):
     def double(batches):
         for frame in batches:

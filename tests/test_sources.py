@@ -29,7 +29,7 @@ def test_rowtext_round_trip_and_append(spark, tmp_path):
 
 
 def test_rowtext_refuses_what_it_cannot_hold(spark, tmp_path):
-    for value in (None, "", "a\tb", "a\nb"):
+    for value in (None, "", "a\tb", "a\nb", "a\rb", "# schema: s:VARCHAR", "# schema: x"):
         with pytest.raises(PySparkException):
             rowtext.write(tables.values(spark, [(value,)], "s string"), str(tmp_path / "x"))
     with pytest.raises(ValueError):
@@ -54,6 +54,30 @@ def test_rowtext_checks(spark, tmp_path):
         rowtext.read(spark, str(none))
 
 
+def test_rowtext_headers_are_held_against_the_first(spark, tmp_path):
+    for name, text in (("a", "# schema: a:BIGINT,b:VARCHAR\n1\tx\n"), ("b", "# schema: c:BIGINT,d:VARCHAR\n2\ty\n"), ("c", "# schema: a:VARCHAR,b:VARCHAR\n3\tz\n")):
+        (tmp_path / name).write_text(text)
+    path = lambda *names: [str(tmp_path / n) for n in names]
+    assert bag(rowtext.read(spark, path("a", "b"))) == [(1, "x"), (2, "y")]
+    with pytest.raises(PySparkException):
+        rowtext.read(spark, path("a", "c")).collect()
+    (tmp_path / "d").write_text("# schema: a:VARCHAR\nx\n# schema: not one\n")
+    with pytest.raises(PySparkException):
+        rowtext.read(spark, path("d")).collect()
+
+
+def test_csv_types_line_is_the_second_line_only(spark, tmp_path):
+    one, two = tmp_path / "one.csv", tmp_path / "two.csv"
+    one.write_text('"a, b",c\nVARCHAR,VARCHAR\nx,1\nVARCHAR,VARCHAR\nVARCHAR,VARCHAR\n')
+    two.write_text('"a, b",c\nVARCHAR,VARCHAR\ny,2\n')
+    df = typed_csv.read(spark, [str(one), str(two)])
+    assert df.columns == ["a, b", "c"]
+    assert bag(df) == [("VARCHAR", "VARCHAR"), ("VARCHAR", "VARCHAR"), ("x", "1"), ("y", "2")]
+    two.write_text("other,c\nVARCHAR,VARCHAR\ny,2\n")
+    with pytest.raises(Exception, match="header does not conform"):
+        typed_csv.read(spark, [str(one), str(two)]).collect()
+
+
 def test_csv(spark, tmp_path):
     path = tmp_path / "sample.csv"
     path.write_text('my_col,name,score\nBIGINT,VARCHAR,INTEGER\n3,alice,10\n\n1," bob, ""b"" ",7\n2,charlie,9\n')
@@ -152,6 +176,32 @@ def test_paged_source(spark, tmp_path):
         registry.read(spark, "orc", path)
 
 
+def test_paged_write_that_fails_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "paged")
+    paged.write(spark.range(10), path, 4, 2)
+
+    def fails(batches):
+        for batch in batches:
+            yield batch
+            if 25 in batch.column("id").to_pylist():
+                raise RuntimeError("broken")
+
+    with pytest.raises(PySparkException):
+        paged.write(spark.range(0, 40, 1, 4).mapInArrow(fails, "id bigint"), path, 4, 2, file_rows=5)
+    assert bag(paged.read(spark, path)) == sorted([(i,) for i in range(10)], key=repr)
+    assert paged.write(spark.range(0, 6, 1, 2), path) == 2 and paged.read(spark, path).count() == 6
+    assert len(list((tmp_path / "paged").glob("*.paged"))) == 2
+
+
+def test_paged_tasks_are_byte_ranges(spark, tmp_path):
+    path = str(tmp_path / "paged")
+    paged.write(spark.range(0, 3000, 1, 3), path, 100, 50)
+    assert paged.read(spark, path).rdd.getNumPartitions() == 1
+    small = paged.read(spark, path, task_bytes=2000)
+    assert small.rdd.getNumPartitions() > 6 and bag(small) == sorted([(i,) for i in range(3000)], key=repr)
+    assert bag(paged.read(spark, path, filters=[("id", "GE", 2990), ("id", "NE", 2995)])) == [(i,) for i in range(2990, 3000) if i != 2995]
+
+
 def test_dbgen_text_and_fixed_tables(spark, tmp_path):
     path = tmp_path / "lineitem.tbl"
     path.write_text("1|2|3|4|17|100.00|0.05|0.10|N|O|1996-03-13|1996-02-12|1996-03-22|IN PERSON|TRUCK|x|\n")

@@ -42,8 +42,8 @@ AGGREGATES: dict[str, Aggregate] = {
 
 
 def register_aggregate(name: str, aggregate: Aggregate) -> None:
-    """Adds an aggregate, or replaces the one of that name."""
-    AGGREGATES[name] = aggregate
+    """Adds an aggregate, or replaces the one of that name; names are the same in either case."""
+    AGGREGATES[name.lower()] = aggregate
 
 
 def register_function(spark: SparkSession, name: str, function: Callable, returns: str) -> None:

@@ -1,7 +1,7 @@
 """Scalar and array functions whose results differ from Spark's own, as Columns.
 
-Integers are computed as BIGINT, comparisons that are projected are 0 or 1, the remainder
-truncates both operands first, and substr has defined results at every edge. What Spark has
+Integers are computed as BIGINT and anything with a DOUBLE as DOUBLE, comparisons that are projected are 0 or 1,
+the remainder truncates both operands first, and substr has defined results at every edge. What Spark has
 with the same meaning (upper, concat, transform, filter on arrays) is used as it is.
 """
 
@@ -29,16 +29,21 @@ def big(value) -> Column:
     return _column(value).cast("bigint")
 
 
+def wide(value) -> Column:
+    """An operand whose sums and products are BIGINT if it is an integer of any width; a DOUBLE stays one."""
+    return _column(value) + F.lit(0).cast("bigint")
+
+
 def plus(a, b) -> Column:
-    return big(a) + big(b)
+    return wide(a) + _column(b)
 
 
 def minus(a, b) -> Column:
-    return big(a) - big(b)
+    return wide(a) - _column(b)
 
 
 def multiply(a, b) -> Column:
-    return big(a) * big(b)
+    return wide(a) * _column(b)
 
 
 def divide(a, b) -> Column:
@@ -51,9 +56,14 @@ def mod(a, b) -> Column:
     return big(a) % big(b)
 
 
+def holds(kind: str, a, b) -> Column:
+    """A comparison (eq, neq, lt, gt, lte, gte) as a condition."""
+    return _OPERATORS[kind](_column(a), _column(b))
+
+
 def compare(kind: str, a, b) -> Column:
-    """A comparison (eq, neq, lt, gt, lte, gte) as INTEGER 0 or 1."""
-    return _OPERATORS[kind](_column(a), _column(b)).cast("int")
+    """A comparison as INTEGER 0 or 1."""
+    return holds(kind, a, b).cast("int")
 
 
 def substr(s, start, length) -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.functions import text
 from tidewater.functions.extensions import AGGREGATES
 
 _CALL = re.compile(r"\s*(\w+)\s*\(\s*(\w+|\*)\s*\)\s*(?:as\s+(\w+)\s*)?", re.IGNORECASE)
@@ -20,31 +21,31 @@ JOINS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "an
 def where(df: DataFrame, *predicates: str | Column) -> DataFrame:
     """Rows for which all predicates hold. A predicate is a whole boolean expression; anything after it is an error."""
     for p in predicates:
-        df = df.where(F.expr(p) if isinstance(p, str) else p)
+        df = df.where(text.condition(p) if isinstance(p, str) else p)
     return df
 
 
 def project(df: DataFrame, *columns: str | Column) -> DataFrame:
     """Columns by name, "expression AS name" text, or Column."""
-    return df.select(*(F.expr(c) if isinstance(c, str) else c for c in columns))
+    return df.select(*(text.value(c) if isinstance(c, str) else c for c in columns))
 
 
 # --- aggregation ------------------------------------------------------------------------
 
 
-def parse_aggregate(text: str) -> tuple[str, str, str]:
+def parse_aggregate(call: str) -> tuple[str, str, str]:
     """Function, argument and name of "function(argument) AS name"."""
-    found = _CALL.fullmatch(text)
+    found = _CALL.fullmatch(call)
     if not found:
-        raise ValueError(f"not an aggregate: {text!r}")
+        raise ValueError(f"not an aggregate: {call!r}")
     function, argument, name = found.groups()
     if function.lower() not in AGGREGATES:
         raise ValueError(f"unknown aggregate {function!r}")
     return function.lower(), argument, name or f"{function}({argument})"
 
 
-def _argument(text: str) -> Column:
-    return F.lit(1) if text in ("1", "*") else F.col(text)
+def _argument(name: str) -> Column:
+    return F.lit(1) if name in ("1", "*") else F.col(name)
 
 
 def partial_state(aggregates: Sequence[str]) -> list[Column]:
@@ -133,9 +134,9 @@ def hash_join(
         same = F.col(f"probe.{a}") == F.col(f"build.{b}")
         condition = same if condition is None else condition & same
     if residual:
-        condition = condition & F.expr(residual)
+        condition = condition & text.condition(residual)
     joined = left.join(right, condition, JOINS[how])
-    return joined.select(*(F.expr(c) for c in output)) if output else joined
+    return joined.select(*(text.value(c) for c in output)) if output else joined
 
 
 # --- sorts ------------------------------------------------------------------------------
@@ -173,5 +174,5 @@ def spread(df: DataFrame, partitions: int, *keys: str) -> DataFrame:
 
 
 def gather(df: DataFrame, partitions: int = 1) -> DataFrame:
-    """Fewer partitions without a shuffle, in no particular order."""
-    return df.coalesce(partitions)
+    """Fewer partitions, in no particular order; what makes the rows keeps its own number of tasks."""
+    return df.repartition(partitions)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -64,37 +65,89 @@ class TaskCancelled(RuntimeError):
 class Task:
     """Runs a plan over splits that are added one by one, and can be cancelled.
 
-    build makes the plan from the paths of all splits. Rows come out of next() once
-    no_more_splits() was called.
+    scans names the plan's scans; each gets splits of its own. build makes the plan from the paths of the splits: a
+    list, or a dict of lists by scan if there are several. Rows come out of next() once
+    every scan has all its splits. A plan that works row by row (one scan, filters, projections: row_by_row) need not wait: it
+    runs over the splits that are there, and again over those that have come meanwhile.
     """
 
-    def __init__(self, spark: SparkSession, build: Callable[[list[str]], DataFrame]):
-        self.spark, self.build = spark, build
-        self.splits: list[str] = []
-        self.closed = threading.Event()
-        self.cancelled = threading.Event()
+    def __init__(self, spark: SparkSession, build: Callable[..., DataFrame], scans: Sequence[str] = ("scan",), row_by_row: bool = False):
+        if row_by_row and len(scans) != 1:
+            raise ValueError("a plan that works row by row has one scan")
+        self.spark, self.build, self.row_by_row = spark, build, row_by_row
+        self.splits: dict[str, list[str]] = {scan: [] for scan in scans}
+        self.open = set(scans)
+        self.cancelled = False
+        self.changed = threading.Condition()
+        self.tag = f"task-{uuid.uuid4().hex}"
         self._rows: Iterator[Row] | None = None
 
-    def add_split(self, path: str) -> None:
-        if self.closed.is_set():
-            raise RuntimeError("no more splits were announced")
-        self.splits.append(path)
-
-    def no_more_splits(self) -> None:
-        self.closed.set()
+    def _scan(self, scan: str | None) -> str:
+        if scan is None and len(self.splits) == 1:
+            return next(iter(self.splits))
+        if scan not in self.splits:
+            raise ValueError(f"no scan {scan!r}")
+        return scan
+
+    def add_split(self, path: str, scan: str | None = None) -> None:
+        with self.changed:
+            if (scan := self._scan(scan)) not in self.open:
+                raise RuntimeError("no more splits were announced")
+            self.splits[scan].append(path)
+            self.changed.notify_all()
+
+    def no_more_splits(self, scan: str | None = None) -> None:
+        """For one scan, or for all."""
+        with self.changed:
+            self.open -= set(self.splits) if scan is None else {self._scan(scan)}
+            self.changed.notify_all()
+
+    def _next_splits(self):
+        """What to run over next: all splits, or those that came meanwhile; None if there is nothing left."""
+        with self.changed:
+            ready = lambda: self.cancelled or not self.open or self.row_by_row and any(self.splits.values())
+            self.changed.wait_for(ready)
+            if self.cancelled:
+                raise TaskCancelled
+            if not self.row_by_row:
+                return next(iter(self.splits.values())) if len(self.splits) == 1 else self.splits
+            (scan, there), = self.splits.items()
+            self.splits[scan] = []
+            return there or None
+
+    def _begin(self, splits) -> Iterator[Row]:
+        context = self.spark.sparkContext
+        context.addJobTag(self.tag)  # what this thread starts from here on, cancel() can end
+        try:
+            return self.build(splits).toLocalIterator()
+        finally:
+            context.removeJobTag(self.tag)
 
     def next(self) -> Row | None:
-        """The next row, None after the last; waits for the splits to be complete. Raises once the task is cancelled."""
-        if self._rows is None:
-            self.closed.wait()
-            self._rows = self.build(self.splits).toLocalIterator()
-        row = next(self._rows, None)
-        if self.cancelled.is_set():
+        """The next row, None after the last; waits for splits. Raises TaskCancelled once the task is cancelled."""
+        try:
+            while not self.cancelled:
+                if self._rows is None:
+                    if (splits := self._next_splits()) is None:
+                        return None
+                    self._rows = self._begin(splits)
+                row = next(self._rows, None)
+                if row is not None and not self.cancelled:
+                    return row
+                if not self.row_by_row and not self.cancelled:
+                    return None
+                self._rows = None
+        except Exception as problem:
+            if not self.cancelled:
+                raise
             self._rows = None
-            raise TaskCancelled
-        return row
+            raise TaskCancelled from problem
+        raise TaskCancelled
 
     def cancel(self) -> None:
-        """Ends the task, from any thread. Rows come one partition at a time, so no partition after the current one is begun."""
-        self.cancelled.set()
-        self.closed.set()
+        """Ends the task, from any thread, and whatever job it is running."""
+        with self.changed:
+            self.cancelled = True
+            self.open.clear()
+            self.changed.notify_all()
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)

@@ -214,6 +214,58 @@ def expr_arith(spark, sf_dir):
     )
 
 
+@query("""
+    SELECT l_orderkey, l_linenumber, l_quantity + l_tax AS added, l_extendedprice - l_discount AS taken, l_extendedprice * l_discount AS times,
+           CAST(l_linenumber AS BIGINT) + l_discount AS mixed, l_tax * 2 AS doubled FROM lineitem
+""")
+def expr_arith_double(spark, sf_dir):
+    items = lineitem(spark, sf_dir, "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return items.select(
+        "l_orderkey",
+        "l_linenumber",
+        scalar.plus("l_quantity", "l_tax").alias("added"),
+        scalar.minus("l_extendedprice", "l_discount").alias("taken"),
+        scalar.multiply("l_extendedprice", "l_discount").alias("times"),
+        scalar.plus("l_linenumber", "l_discount").alias("mixed"),
+        scalar.multiply("l_tax", 2).alias("doubled"),
+    )
+
+
+@query("""
+    SELECT l_orderkey, CAST(l_linenumber AS BIGINT) + 2147483647 AS sum_wide, CAST(l_linenumber AS BIGINT) * 2147483647 AS times_wide, l_quantity - 0.5::DOUBLE AS less,
+           CAST(trunc(l_extendedprice) AS BIGINT) % 7 AS rest, CAST(l_partkey AS DOUBLE) / l_linenumber AS share,
+           CAST(l_linenumber = 3 AS INTEGER) AS third, CAST(l_linenumber >= 3 AS INTEGER) + CAST(2 AS BIGINT) AS counted,
+           CASE WHEN l_linenumber - 2 <= 0 THEN '' ELSE substring(l_returnflag || l_linestatus || 'xyz', CAST(l_linenumber - 2 AS INTEGER), 2) END AS part,
+           upper(l_linestatus || '-' || l_returnflag) AS status
+    FROM lineitem
+""")
+def expr_text_functions(spark, sf_dir):
+    items = lineitem(spark, sf_dir, "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
+    return ops.project(
+        items,
+        "l_orderkey",
+        "plus(l_linenumber, 2147483647) AS sum_wide",
+        "l_linenumber * 2147483647 AS times_wide",
+        "minus(l_quantity, 0.5) AS less",
+        "l_extendedprice % 7.9 AS rest",
+        "divide(l_partkey, l_linenumber) AS share",
+        "eq(l_linenumber, 3) AS third",
+        "(l_linenumber >= 3) + 2 AS counted",
+        "substr(concat(l_returnflag, l_linestatus, 'xyz'), l_linenumber - 2, 2) AS part",
+        "upper(concat(l_linestatus, '-', l_returnflag)) AS status",
+    )
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
+    WHERE l_linenumber <> 2 AND l_quantity + l_linenumber < 30 AND CAST(trunc(l_extendedprice) AS BIGINT) % 2 = 1 AND CAST(l_linenumber AS BIGINT) * 2147483647 > 2147483647
+""")
+def filter_text_functions(spark, sf_dir):
+    plan = Plan(lineitem(spark, sf_dir, "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"))
+    plan = plan.filter("neq(l_linenumber, 2)").filter("lt(plus(l_quantity, l_linenumber), 30)").filter("mod(l_extendedprice, 2.9) == 1").filter("gt(l_linenumber * 2147483647, 2147483647)")
+    return plan.project("l_orderkey", "l_linenumber", "l_quantity").df
+
+
 @query("SELECT p_partkey, CAST(p_partkey AS DOUBLE) / p_size AS share FROM part")
 def expr_divide(spark, sf_dir):
     return tables.parquet(spark, sf_dir, "part", ["p_partkey", "p_size"]).select("p_partkey", scalar.divide("p_partkey", "p_size").alias("share"))
@@ -480,10 +532,39 @@ def paged_scan_filter(spark, sf_dir):
     path = scratch_path(spark, "paged")
     rows = ops.project(lineitem(spark, sf_dir), "l_orderkey AS id", "l_returnflag AS label", "l_linenumber AS price", "l_linestatus AS other")
     paged.write(rows, path, row_group=8192, page=1024)
-    found = paged.read(spark, path, columns=["id", "label", "price"])
+    found = paged.read(spark, path, columns=["id", "label", "price"], filters=[("id", "GT", 5000), ("label", "NE", "N"), ("price", "GE", 2)])
     return ops.where(found, "id > 5000", "label != 'N'", "price >= 2")
 
 
+@query("""
+    WITH t AS (SELECT concat_ws('|', s_suppkey, s_name) AS first, '  ' || s_name || ' ' AS second, CAST(s_suppkey AS DOUBLE) / 4 AS share FROM supplier)
+    SELECT first, second, share, CAST(2 * count(*) AS BIGINT) AS copies FROM t GROUP BY ALL
+""")
+def rowtext_append_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "rowtext")
+    rows = ops.project(_suppliers(spark, sf_dir), "concat_ws('|', s_suppkey, s_name) AS first", "concat('  ', s_name, ' ') AS second", "s_suppkey / 4 AS share")
+    rowtext.write(rows, path)
+    rowtext.write(rows, path, mode="append", single=True)
+    return ops.aggregate(rowtext.read(spark, path), ["first", "second", "share"], ["count(1) AS copies"])
+
+
+@query("""
+    WITH t AS (SELECT s_name AS first, 'VARCHAR' AS second FROM supplier UNION ALL SELECT 'VARCHAR', 'VARCHAR' FROM supplier WHERE s_suppkey <= 3)
+    SELECT first AS "a, b", second AS "c", count(*) AS n FROM t GROUP BY ALL
+""")
+def csv_types_line_by_place(spark, sf_dir):
+    """Two files of two columns named "a, b" and "c"; three rows read like the types line and are data."""
+    path = scratch_path(spark, "csv")
+    like_types = ops.where(tables.parquet(spark, sf_dir, "supplier", ["s_suppkey"]), "s_suppkey <= 3")
+    plain = ops.project(_suppliers(spark, sf_dir), "concat(s_name, ',VARCHAR') AS value")
+    for k, part in enumerate((plain, ops.project(like_types, "'VARCHAR,VARCHAR' AS value"))):
+        types = tables.values(spark, [("VARCHAR,VARCHAR",)], "value string")
+        lines = types.coalesce(1).unionByName(part).select(F.col("value").alias('"a, b",c')).coalesce(1)
+        lines.write.options(header=True, sep="\u0001", quote="", escape="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{path}/{k}")
+    read = typed_csv.read(spark, [f"{path}/0", f"{path}/1"])
+    return read.groupBy("a, b", "c").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- functions added at run time --------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -22,10 +23,14 @@ def qualified(spark: SparkSession, path: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset (tests, one
-    machine) a folder of this machine is taken.
+    The cluster names it in spark.checkpoint.dir. Only where that is unset and the master is
+    this machine (tests) a folder of its own is taken.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tidewater-shared")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "tidewater-shared")
     return qualified(spark, folder).rstrip("/")
 
 
@@ -38,6 +43,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, asked through Hadoop's file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Removes a path through Hadoop's file system."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -48,5 +59,5 @@ def _clean() -> None:
     for spark, path in _made:
         try:
             drop_path(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone; the folder is the cluster's to clean then
-            return
+        except Exception:  # noqa: BLE001, S112  the session may be gone; the folder is the cluster's to clean then
+            continue

@@ -1,13 +1,19 @@
-"""Spark's access to paged files: a data source "paged" with a partition per row group.
+"""Spark's access to paged files: a data source "paged" over byte ranges of files.
 
-Comparisons of columns with constants are pushed down (with
-spark.sql.python.filterPushdown.enabled); columns are pruned through the option "columns", as
-Spark doesn't push projections to Python sources. Files are opened by the file system of
-their path, so every executor must reach it.
+A task takes the row groups that begin in its ranges (about TASK bytes; small files share a
+task), reads each file's footer itself, and skips the groups and pages that the filters rule out.
+Columns are pruned through the option "columns", as Spark doesn't push projections to
+Python sources. Filters come through the option "filters", or from Spark itself where the
+session has spark.sql.python.filterPushdown.enabled. Files are opened by the file system of their path,
+so every executor must reach it.
+
+A folder that write() made has a manifest: the files that one job wrote, put in place when the job
+has ended. Files that it doesn't name are never read; a folder without one is read whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator, Sequence
@@ -32,6 +38,8 @@ from pyspark.sql.types import StructType
 from tidewater.shipping import ship
 from tidewater.sources.paged_format import PagedFile, encode
 
+#: Bytes of files that one task reads, about; and the name of a folder's list of files.
+TASK, MANIFEST = 128 << 20, "_manifest"
 _OPS = {EqualTo: "EQ", LessThan: "LT", LessThanOrEqual: "LE", GreaterThan: "GT", GreaterThanOrEqual: "GE"}
 
 
@@ -40,36 +48,51 @@ def _open(path: str):
     return system, inner
 
 
-def list_files(paths: Sequence[str]) -> list[str]:
-    """Files of the paths, directories being searched for *.paged."""
+def list_files(paths: Sequence[str]) -> list[tuple[str, int]]:
+    """Files of the paths and their sizes: those that a folder's manifest names, or all *.paged below it."""
     found = []
     for path in paths:
         system, inner = _open(path)
         info = system.get_file_info(inner)
         if info.type == pafs.FileType.Directory:
             prefix = path.rstrip("/")
-            below = system.get_file_info(pafs.FileSelector(inner, recursive=True))
-            found += sorted(prefix + f.path[len(inner.rstrip("/")) :] for f in below if f.type == pafs.FileType.File and f.path.endswith(".paged"))
+            names = _manifest(system, inner)
+            below = system.get_file_info(pafs.FileSelector(inner, recursive=names is None))
+            found += sorted(
+                (prefix + f.path[len(inner.rstrip("/")) :], f.size)
+                for f in below
+                if f.type == pafs.FileType.File and (f.path.endswith(".paged") if names is None else f.base_name in names)
+            )
         elif info.type == pafs.FileType.File:
-            found.append(path)
+            found.append((path, info.size))
         else:
             raise FileNotFoundError(path)
     return found
 
 
+def _manifest(system, folder: str) -> set[str] | None:
+    place = f"{folder.rstrip('/')}/{MANIFEST}"
+    if system.get_file_info(place).type != pafs.FileType.File:
+        return None
+    with system.open_input_file(place) as source:
+        return set(source.read().decode().split())
+
+
 def open_file(path: str) -> PagedFile:
     system, inner = _open(path)
     return PagedFile(system.open_input_file(inner))
 
 
-class Group(InputPartition):
-    def __init__(self, path: str, number: int):
-        super().__init__((path, number))
+class Ranges(InputPartition):
+    """Byte ranges of files: [(path, from, to)]."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        super().__init__(ranges)
 
 
 class PagedReader(DataSourceReader):
-    def __init__(self, files: list[str], columns: list[str]):
-        self.files, self.columns, self.filters = files, columns, []
+    def __init__(self, files: list[tuple[str, int]], columns: list[str], filters: list, task_bytes: int):
+        self.files, self.columns, self.filters, self.task_bytes = files, columns, [tuple(f) for f in filters], task_bytes
 
     def pushFilters(self, filters):  # noqa: N802  Spark's name
         for f in filters:
@@ -80,12 +103,23 @@ class PagedReader(DataSourceReader):
             yield f  # Spark compares again, which costs little on rows that are left
 
     def partitions(self):
-        return [Group(path, n) for path in self.files for n in range(len(open_file(path).groups))] or [Group("", -1)]
+        out, open_bytes = [[]], 0
+        for path, size in self.files:
+            for begin in range(0, size, self.task_bytes):
+                end = min(size, begin + self.task_bytes)
+                if open_bytes and open_bytes + end - begin > self.task_bytes:
+                    out.append([])
+                    open_bytes = 0
+                out[-1].append((path, begin, end))
+                open_bytes += end - begin
+        return [Ranges(x) for x in out]
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:
-        path, number = partition.value
-        if number >= 0:
-            yield from open_file(path).read_group(number, self.columns, self.filters).to_batches()
+        for path, begin, end in partition.value:
+            file = open_file(path)
+            for n in range(len(file.groups)):
+                if begin <= file.place(n) < end:
+                    yield from file.read_group(n, self.columns, self.filters).to_batches()
 
 
 class PagedSource(DataSource):
@@ -93,7 +127,7 @@ class PagedSource(DataSource):
     def name(cls) -> str:
         return "paged"
 
-    def _files(self) -> list[str]:
+    def _files(self) -> list[tuple[str, int]]:
         return list_files(self.options["path"].split(","))
 
     def _columns(self) -> list[str]:
@@ -103,31 +137,38 @@ class PagedSource(DataSource):
         files = self._files()
         if not files:
             raise ValueError("no paged file")
-        schema = open_file(files[0]).schema()
+        schema = open_file(files[0][0]).schema()
         return from_arrow_schema(pa.schema([schema.field(c) for c in self._columns()]) if self._columns() else schema)
 
     def reader(self, schema: StructType) -> PagedReader:
-        return PagedReader(self._files(), self._columns() or schema.names)
+        return PagedReader(self._files(), self._columns() or schema.names, json.loads(self.options.get("filters", "[]")), int(self.options.get("task_bytes", TASK)))
 
 
-def read(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] = ()) -> DataFrame:
+def read(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] = (), filters: Sequence[tuple[str, str, object]] = (), task_bytes: int = TASK) -> DataFrame:
+    """The rows that pass all filters (column, EQ NE LT LE GT GE, constant)."""
     ship(spark)
     spark.dataSource.register(PagedSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     path = paths if isinstance(paths, str) else ",".join(paths)
-    return spark.read.format("paged").option("path", path).option("columns", ",".join(columns)).load()
+    options = {"path": path, "columns": ",".join(columns), "filters": json.dumps([list(f) for f in filters]), "task_bytes": str(task_bytes)}
+    return spark.read.format("paged").options(**options).load()
 
 
 def write(df: DataFrame, path: str, row_group: int = 1024, page: int = 256, file_rows: int = 1 << 20) -> int:
     """Replaces a directory of files, one or more a partition, written in parallel; returns their number.
 
-    A file is written under a hidden name and moved into place when whole.
+    The files become the directory's when the manifest names them, after the last one is whole.
+    A job that fails leaves the directory as it was, but for files that no manifest names;
+    the next job that ends well removes them.
     """
     ship(df.sparkSession)
+    system, root = _open(path)
+    system.create_dir(root, recursive=True)
+    if _manifest(system, root) is None:  # from now on a part counts only if a manifest names it
+        whole = [f.base_name for f in system.get_file_info(pafs.FileSelector(root)) if f.is_file and f.base_name.endswith(".paged")]
+        _put_manifest(system, root, whole)
 
     def run(batches):
         system, root = _open(path)
-        system.create_dir(root, recursive=True)
         held, rows = [], 0
         for batch in batches:
             if batch.num_rows:
@@ -139,20 +180,23 @@ def write(df: DataFrame, path: str, row_group: int = 1024, page: int = 256, file
         if held:
             yield _store(system, root, held, row_group, page)
 
-    written = df.mapInArrow(run, "file string").collect()
-    names = {r.file for r in written}
-    system, root = _open(path)
-    if system.get_file_info(root).type == pafs.FileType.Directory:  # files of attempts that Spark gave up
-        for f in system.get_file_info(pafs.FileSelector(root)):
-            if f.is_file and f.base_name.endswith(".paged") and f.base_name not in names:
-                system.delete_file(f.path)
+    names = {r.file for r in df.mapInArrow(run, "file string").collect()}
+    _put_manifest(system, root, names)
+    for f in system.get_file_info(pafs.FileSelector(root)):
+        if f.is_file and f.base_name.endswith(".paged") and f.base_name not in names:
+            system.delete_file(f.path)
     return len(names)
 
 
+def _put_manifest(system, root: str, names) -> None:
+    """Written under another name and moved, so that a reader sees the old one or the new one."""
+    with system.open_output_stream(f"{root}/.{MANIFEST}", compression=None) as sink:
+        sink.write("\n".join(sorted(names)).encode())
+    system.move(f"{root}/.{MANIFEST}", f"{root}/{MANIFEST}")
+
+
 def _store(system, root: str, held: list[pa.RecordBatch], row_group: int, page: int) -> pa.RecordBatch:
     name = f"part-{uuid.uuid4().hex}.paged"
-    data = encode(pa.Table.from_batches(held), row_group, page)
-    with system.open_output_stream(f"{root}/.{name}", compression=None) as sink:
-        sink.write(data)
-    system.move(f"{root}/.{name}", f"{root}/{name}")
+    with system.open_output_stream(f"{root}/{name}", compression=None) as sink:
+        sink.write(encode(pa.Table.from_batches(held), row_group, page))
     return pa.RecordBatch.from_arrays([pa.array([name])], ["file"])

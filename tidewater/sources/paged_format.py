@@ -171,6 +171,10 @@ class PagedFile:
     def schema(self) -> pa.Schema:
         return pa.schema([(n, _ARROW[k]) for n, k in zip(self.names, self.kinds)])
 
+    def place(self, number: int) -> int:
+        """Where a row group begins in the file."""
+        return min(p.offset for chunk in self.groups[number][1] for p in chunk.pages[:1])
+
     def _page(self, kind: int, page: Page) -> pa.Array:
         self.decoded += 1
         data = self._bytes(page.offset, page.length)
