@@ -30,28 +30,49 @@ from tidewater.llm.common import ship
 BITS, GRAMS, MOST = 16, (3, 4, 5), 10_000
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
-#: A small labelled table, written for this filter: ordinary hosts, and those of advertising, betting, adult content and
-#: download bait. Each host comes with each path, so that a path by itself says little.
+#: A small labelled table, written for this filter: ordinary pages, and those of betting, advertising, adult content, pills,
+#: pirated downloads and fraud. Hosts and paths are those that such pages have, each url once.
 _ALLOW = """
-museum-of-clocks.org blog.gardening.example.org docs.python.org en.wikipedia.org news.city-herald.com www.library.example.net m.weather.example.com
-school.example.org recipes.example.net www.university.edu forum.cycling.example.org history.example.com www.hospital.example.org maps.example.org
-shop.bookstore.example.net blog.woodwork.example.com travel.example.net www.parliament.example.org music.example.com science.example.net kids.example.org
-m.railways.example.org choir.example.org www.observatory.example.net art.example.org law.example.com blog.birds.example.net archive.org zoo.example.org
-geology.example.org theatre.example.net blog.astronomy.example.org northern.example.org thother.example.org www.then-and-there.example.org m.thing.example.net
-station.example.net www.the.example.com blog.tions.example.net m.others.example.org thesis.example.net www.than.example.org threads.example.org hands.example.com
-health.example.net m.rivers.example.net www.thorn.example.com blog.thatch.example.org stone.example.net hen-house.example.org nation.example.com option.example.net
-themes.example.com throne.example.net earth.example.com thin-ice.example.org theory.example.net heron.example.org then.example.net these.example.com hand-made.example.net
+en.wikipedia.org/wiki/History_of_glass docs.python.org/3/library/functools.html www.gutenberg.org/ebooks/1342 arxiv.org/abs/1706.03762
+www.openstreetmap.org/relation/62422 stackoverflow.com/questions/11227809/sorting-an-array news.harbourherald.net/2021/05/14/council-votes-on-bridge
+riverside-library.com/catalogue/new-arrivals blog.kitchengarden.org/2019/03/how-to-plant-leeks www.cityofmillbrook.gov/departments/water
+recipes.oakandthyme.net/soups/lentil-soup-with-cumin www.northfield.edu/physics/courses/thermodynamics m.weatherwatch.com/forecast/week
+forum.bicyclerepair.net/threads/adjusting-a-rear-derailleur.4521 museumofclocks.com/visit/opening-hours shop.paperlanternbooks.org/product/atlas-of-islands
+www.saintmaryhospital.net/patients/appointments maps.trailfinder.com/routes/lake-loop www.parliament.uk/business/bills archive.org/details/oldfarmalmanac
+journal.marinebiology.net/volume/12/issue/3 birding.marshlands.com/species/grey-heron choirfestival.org/programme/saturday theatre.oldmill.net/whats-on
+railway.timetable.com/stations/central www.geologysociety.net/field-guides/basalt blog.woodturning.com/tools/sharpening-a-gouge
+www.astronomyclub.org/observing/moon-phases law.citizensadvice.net/housing/tenancy-agreements learn.algebraforall.com/lessons/quadratic-equations
+kids.storycorner.net/tales/the-fox-and-the-crow travel.slowroads.com/portugal/alentejo-by-train zoo-and-gardens.org/animals/red-panda
+health.familydoctor.net/conditions/asthma www.farmersmarket.com/stalls/honey music.earlystrings.net/composers/dowland www.townhall.com/minutes/2020/november
+photos.mountainclub.org/albums/winter-ascent teachersunion.net/resources/lesson-plans science.plainwords.com/articles/why-the-sky-is-blue
+www.bakerydistrict.net/bread/rye-sourdough cinema.smallscreen.com/reviews/the-lighthouse-keeper history.oldharbour.org/maps/1850
+www.democratichall.net/debates/transport-policy dev.opencompiler.com/manual/optimisation wiki.homebrewing.net/yeast/lager-strains
+volunteerfire.com/about/contact statistics.census.gov/tables/population-by-age www.linguistics.org/grammar/relative-clauses
+gardening.allotment.net/seasons/spring www.chesscollege.com/openings/caro-kann press.nationaltheatre.net/releases/2018 engineeringtoday.com/bridges/suspension
+poetry.quietpage.org/poems/winter-evening www.icelandictours.net/guides/waterfalls data.oceanbuoys.com/stations/44013 www.furnituremuseum.net/collections/chairs
+dictionary.wordroots.com/entry/candle encyclopedia.brightmind.org/topic/photosynthesis schoolorchestra.net/concerts/spring podcast.localvoices.com/episodes/17
+de.sprachschule.net/kurse/grammatik fr.cuisinefamiliale.com/recettes/tarte-aux-pommes es.viajesdelsur.org/rutas/pueblos-blancos www.stadtbibliothek.net/oeffnungszeiten
+code.tinytools.com/repository/readme support.printworks.net/manuals/paper-jam www.rowingclub.com/results/regatta-2022 blog.mapmakers.org/posts/drawing-contours
+antiquebooks.net/catalogue/bindings www.villagehall.com/hire/prices www.treesurvey.net/species/oak lighthousetrust.com/visits
 """
 _BLOCK = """
-ads.tracker.example.org ad-track.example.net track-ads.example.com adserver.example.net www.clicktracker.example.org ads-clicks.example.org
-free-casino.example.com casino-bonus.example.net best-bets.example.org bets-online.example.net free-bet.example.com poker-free.example.org
-adult-cams.example.com xxx-videos.example.net adult.example.org x-adult.example.com hot-xxx.example.org porn-tube.example.net cheap-pills.example.com
-viagra-cheap.example.org free-download-crack.example.net warez.example.org win-free-prize.example.com loan-payday.example.net spam-mailer.example.org
-popup-ads.example.com free-spins.example.org sports-bets.example.org adtracking.example.org tracking-ads.example.net betting-tips.example.org
-jackpot-slots.example.org adult-dating.example.org ads.example.org track.ads.example.org casino.example.org clickbait-ads.example.org
+www.luckyspins-casino.com/bonus/free-spins-no-deposit casino-royale-slots.org/signup?aff=7731 jackpot.megawin-casino.net/play/slots bet365bonus.com/free-bets/today
+www.best-sports-betting.xyz/odds/tips www.online-poker-cash.com/join/bonus-code win-real-money-slots.org/register wins-every-day.net/lottery/jackpot
+www.freebets4u.com/claim-free-bet bingo-winners.club/deposit-bonus adserver.clickmedia.com/click?id=8841 ads.popundernetwork.org/serve/banner
+track.affiliate-clicks.net/redirect?offer=552 doubleads.com/adclick/728x90 banners.trafficexchange.info/impression cdn.adsyndicate.com/popunder.js
+clicktracker.leadsgen.org/pixel/track www.hotxxxtube.net/videos/porn-4431 www.free-porn-clips.com/xxx/category/milf adultcams-live.com/chat/nude
+sexy-dating-tonight.com/hookup/signup xxx.nudegalleries.org/pics/sex www.escorts-in-town.net/girls/book cheap-viagra-pills.com/buy-viagra-online
+www.discount-cialis.net/order/no-prescription pharmacy-pills-online.com/cheap/xanax www.buy-tramadol.org/without-prescription slimming-pills.net/buy/lose-weight-fast
+keygen-cracks.com/download/photoshop-crack.exe www.warez-full-download.com/serial/keygen.zip free-movie-torrent.com/download/full-hd-free
+cracked-apks.org/mod/unlimited-coins www.download-now-free.net/setup.exe?src=pop payday-loans-instant.com/apply/bad-credit quick-cash-loan.net/approved/today
+www.make-money-fast.com/work-from-home/secret crypto-doubler.org/invest/double-your-bitcoin bitcoin-profit-now.net/signup/free-bonus www.forex-millionaire.com/earn/money
+you-won-a-prize.club/claim/iphone free-gift-cards.com/survey/claim-now www.account-verify-login.org/secure/update-password paypal-security-check.net/login/verify
+replica-watches-cheap.com/rolex/sale www.cheap-designer-bags.shop/replica/discount instagram-followers-buy.com/cheap/likes seo-backlinks-cheap.org/buy/links
+www.hot-singles-near.net/dating/free-signup cams.adultfriend.com/live/sex-chat miracle-weightloss.info/buy-now/pills spam-bulkmailer.com/buy/email-lists
+www.weed-shop-online.org/order/cheap betting-odds-free.net/win/tips slots-of-luck.com/casino/spins www.free-vbucks-generator.net/hack/free lottery-winner.com/claim/prize
+porn-hd-free.org/watch/xxx www.sex-videos-free.net/tube/porn ads.cheap-traffic.com/buy/clicks adult-toys-cheap.shop/sale/sex tracking.mailblast.com/open/pixel
 """
-_PATHS = ("/en/12", "/fr/845.html", "/de/3067/", "/es/97?page=2", "/about", "")
-LABELLED = [(f"https://{host}{path}", label) for label, hosts in ((0, _ALLOW), (1, _BLOCK)) for host in hosts.split() for path in _PATHS]
+LABELLED = [(f"https://{url}", label) for label, urls in ((0, _ALLOW), (1, _BLOCK)) for url in urls.split()]
 
 
 def split_url(url: str | None) -> tuple[str, str]:
