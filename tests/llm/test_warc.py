@@ -59,6 +59,14 @@ def test_index_leads_to_frames(spark, pages, path):
     assert sorted((r.page_id, r.payload_bytes) for r in warc.find(spark, path, wanted).collect()) == [(3, 3), (9, 3_000_000)]
 
 
+def test_bundles_are_read_side_by_side(spark, pages, path):
+    index = warc.write(pages.repartition(4), path, frame_bytes=100, bundle_bytes=200)
+    many = index.select("bundle").distinct().count()
+    assert many > 2 and warc.read(spark, path).rdd.getNumPartitions() == many
+    wanted = spark.createDataFrame([(1,), (1,), (3,), (None,), (99,)], "page_id bigint")
+    assert sorted(r.page_id for r in warc.find(spark, path, wanted).collect()) == [1, 1, 3]
+
+
 def test_bundles_are_plain_zstandard_and_seekable(spark, pages, path, tmp_path):
     index = warc.write(pages.coalesce(1), path, frame_bytes=500).collect()
     for name in {r.bundle for r in index}:

@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import settle, ship
@@ -216,9 +216,11 @@ def _row(fields: dict[str, str], block: bytes) -> tuple:
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """All records of the bundles that the index lists; a revisit has no payload of its own."""
+    """All records of the bundles that the index lists, a task for each bundle; a revisit has no payload of its own."""
     ship(spark)
-    bundles = index(spark, path).select("bundle").distinct()
+    bundles = settle(index(spark, path).select("bundle").distinct(), "bundles")
+    place = F.row_number().over(Window.orderBy("bundle")) - 1  # a row for each bundle
+    bundles = bundles.withColumn("place", place).repartitionById(max(1, bundles.count()), F.col("place")).select("bundle")
     names = [x.split()[0] for x in RECORDS.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
@@ -246,17 +248,26 @@ def _records(rows: list, names: list, kinds: list) -> pa.RecordBatch:
 
 
 def find(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """The records of the wanted page_ids: one frame is unpacked for each, found through the index."""
+    """The records of the wanted page_ids, through the index: each bundle is opened once, and of its frames only those are unpacked, once each, that hold one.
+
+    A wanted id that several records share gives all of them; null, and ids that there aren't, give none;
+    an id that is wanted twice is given once.
+    """
     ship(spark)
-    places = index(spark, path).join(wanted.select("page_id").distinct(), "page_id").sort("bundle", "frame", "offset")
+    places = index(spark, path).join(wanted.select("page_id").distinct(), "page_id")
+    places = places.repartition("bundle").sortWithinPartitions("bundle", "frame", "offset")
     names = [x.split()[0] for x in RECORDS.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
     def run(batches):
         system, root = pafs.FileSystem.from_uri(path)
+        at, reader, data = (None, None), None, b""
         for batch in batches:
             for name, frame, offset in zip(*(batch.column(c).to_pylist() for c in ("bundle", "frame", "offset"))):
-                with system.open_input_file(f"{root}/bundles/{name}") as source:
-                    yield _records([_row(*Reader(source).record(frame, offset))], names, kinds)
+                if name != at[0]:
+                    reader = Reader(system.open_input_file(f"{root}/bundles/{name}"))
+                if (name, frame) != at:
+                    at, data = (name, frame), reader.frame(frame)
+                yield _records([_row(*parse(data, offset)[:2])], names, kinds)
 
     return places.mapInArrow(run, RECORDS)
