@@ -1,6 +1,9 @@
 import zlib
 from collections import Counter
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from tidewater.llm import registry, sharding
 from tidewater.llm.common import scratch_path
 
@@ -51,6 +54,42 @@ def test_repeated_rows_do_not_fill_a_bucket(spark):
     assert len(rows) == 3000
 
 
+def test_the_seed_decides_with_many_copies_too(spark):
+    docs = spark.range(3000).selectExpr("IF(id < 1200, 7, id) AS doc_id", "IF(id < 1200, 'same', CAST(id AS STRING)) AS text")
+    run = lambda df: sorted(map(repr, sharding.shuffle(df, scratch_path(spark, "shards-test"), 4, bucket_bytes=2000, batch=50).collect()))
+    first = run(docs)
+    assert run(docs.repartition(7, "text")) == first and run(docs.orderBy(F.desc("doc_id")).coalesce(2)) == first
+
+
+def test_copies_are_scattered_in_batches(spark):
+    docs = spark.range(0, 3000, 1, 5).selectExpr("IF(id % 3 < 2, 7, id) AS doc_id", "IF(id % 3 < 2, 'same', CAST(id AS STRING)) AS text")
+    got = sharding._scattered(docs, "mix", 1, 100).groupBy("doc_id", "mix").count().collect()
+    assert sorted(r["count"] for r in got if r.doc_id == 7) == [100] * 20 and sum(r["count"] for r in got) == 3000
+
+
+def test_against_a_plain_shuffle_in_two_passes(spark, small):
+    """The same hash, buckets in lists, and Fisher-Yates by swapping."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.select("doc_id", "text", F.xxhash64(F.lit(3), F.xxhash64(F.lit(3), "doc_id", F.xxhash64("text")), F.lit(0).cast("bigint"))).collect()]
+    total = sum(len((t or "").encode()) + 8 for _, t, _ in rows)
+    buckets = [[] for _ in range(-(-total // 50_000))]
+    for i, t, h in rows:
+        buckets[h % len(buckets)].append((h, i, t))
+    order = []
+    for b, records in enumerate(buckets):
+        records.sort(key=lambda r: (r[0], r[1], len((r[2] or "").encode())))
+        draws = np.random.default_rng([3, b]).random(max(0, len(records) - 1))
+        for k, i in enumerate(range(len(records) - 1, 0, -1)):
+            j = int(draws[k] * (i + 1))
+            records[i], records[j] = records[j], records[i]
+        order += records
+    want, n = {}, len(order)
+    for at, (_, i, t) in enumerate(order):
+        shard = max(s for s in range(5) if -(-s * n // 5) <= at)
+        want[i, t] = shard, at - -(-shard * n // 5)
+    assert place(sharding.shuffle(docs, scratch_path(spark, "shards-test"), 5, seed=3, bucket_bytes=50_000).collect()) == want
+
+
 def test_edges(spark, edges, none):
     got = sharding.shuffle(edges, scratch_path(spark, "shards-test"), 24)
     assert got.columns == [*edges.columns, "shard", "slot"]
