@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import pytest
+
 from tidewater.llm import exact_dedup, registry
 from tidewater.llm.common import scratch_path
 
@@ -47,3 +49,50 @@ def test_index_joins_without_moving_it(spark):
     both = index.rows().join(index.rows().select("digest").hint("merge"), "digest", "left_anti")
     plan = both._sc._jvm.PythonSQLUtils.explainString(both._jdf.queryExecution(), "formatted")
     assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def kept(rows):
+    return sorted((r.doc_id, r.keep_id, r.kept) for r in rows.collect())
+
+
+def test_bucket_count_is_the_index_s(spark):
+    path = scratch_path(spark, "index-buckets")
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id bigint, text string")
+    exact_dedup.DigestIndex(spark, path, 4).add(docs).count()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        again = exact_dedup.DigestIndex(spark, path)
+        assert again.buckets == 4 and not any(k for _, _, k in kept(again.add(docs))) and again.rows().count() == 40
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, path, 7)
+
+
+def test_a_batch_can_be_added_again(spark):
+    path = scratch_path(spark, "index-batches")
+    first = spark.createDataFrame([(5, "a"), (6, "b"), (7, "a")], "doc_id bigint, text string")
+    second = spark.createDataFrame([(1, "b"), (2, "c"), (3, "c")], "doc_id bigint, text string")
+    index = exact_dedup.DigestIndex(spark, path, 3)
+    one, two = kept(index.add(first, "one")), kept(index.add(second, "two"))
+    rows = sorted((bytes(r.digest), r.keep_id) for r in index.rows().collect())
+    index.close()
+    again = exact_dedup.DigestIndex(spark, path)
+    assert kept(again.add(second, "two")) == two == [(1, 6, False), (2, 2, True), (3, 2, False)]
+    assert sorted((bytes(r.digest), r.keep_id) for r in again.rows().collect()) == rows
+    assert one == [(5, 5, True), (6, 6, True), (7, 5, False)]
+
+
+def test_compaction_keeps_the_rows_and_the_layout(spark):
+    index = exact_dedup.DigestIndex(spark, scratch_path(spark, "index-compact"), 2)
+    for k in range(4):
+        index.add(spark.createDataFrame([(i, f"text {i}") for i in range(10 * k, 10 * k + 20)], "doc_id bigint, text string")).count()
+    rows = sorted((bytes(r.digest), r.keep_id) for r in index.rows().collect())
+    files = len(index.rows().inputFiles())
+    index.compact()
+    assert sorted((bytes(r.digest), r.keep_id) for r in index.rows().collect()) == rows and len(rows) == 50
+    assert len(index.rows().inputFiles()) == 2 < files
+    assert exact_dedup.DigestIndex(spark, index.path).rows().count() == 50
+    index.close()
+    assert not [t for t in spark.catalog.listTables() if t.name == index.name]
