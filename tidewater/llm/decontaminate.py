@@ -7,27 +7,36 @@ piece hit. An Aho-Corasick automaton finds the pieces of all items in one pass o
 the stretch around each hit (as long as the item and its budget allow) is verified with Myers'
 bit-parallel distance, words being the symbols.
 
-The automaton is sent to the executors, so the benchmark is taken in blocks of at most
-BLOCK_BYTES of text, one pass over the documents each. Documents are not shuffled.
+A word is a run of letters and digits; in scripts that don't put spaces between words (Chinese,
+Japanese, Thai, Lao, Burmese, Khmer) each character is a word, so an item is found inside a longer run.
+
+The automaton is sent to the executors, so the benchmark is taken in blocks of about
+BLOCK_BYTES of text, one after another: where there are several, what one block gives is written
+before the next is sent. A worker builds the automaton of a block once. Documents are not shuffled.
 
 Defined results: null and empty documents have no matches; null items and items without a word
 are never matched; items of under 1 / (1 - SIMILARITY) words are matched exactly; repeated
-documents, items and occurrences give a row each; extra columns are not read.
+documents, items and occurrences give a row each; a null item_id or doc_id is given as null;
+find_items() reads no extra columns. decontaminate() decides each row by its own text, whatever its id:
+null and empty texts stay, rows that share an id or have none stay or go one by one, and all columns are kept.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import ship, spread
+from tidewater.llm.common import held, settle, ship, spread
 
 SIMILARITY = 0.8
 BLOCK_BYTES = 8 << 20
-_WORD = re.compile(r"[^\W_]+")
+# Thai and Lao, Burmese, Khmer, kana, and Chinese characters (Unicode blocks).
+_SINGLE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[^\W_{_SINGLE}]+|[{_SINGLE}]")
 SCHEMA = "doc_id long, item_id long, distance int, item_words int, start int, end int"
 
 
@@ -136,26 +145,35 @@ class Matcher:
 def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each occurrence of an item: doc_id, item_id, distance in words, item_words, start and end (characters of the text)."""
     ship(docs.sparkSession)
-    out = None
-    for sent in _sent(benchmark, block_bytes):
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(spread).mapInArrow(_searcher(sent, similarity), SCHEMA)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(spread)
+    blocks, out = _blocks(benchmark, block_bytes), None
+    for part in blocks:
+        found = texts.mapInArrow(_searcher(sent := _sent(part), similarity), SCHEMA)
+        if len(blocks) > 1:
+            found = settle(found, "found")
+            sent.unpersist()
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _sent(benchmark: DataFrame, block_bytes: int):
-    """Yields the blocks of items, each sent to the executors."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """The items in parts of about block_bytes of text."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-2 * total // block_bytes))
-    for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        yield benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
+    return [items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) for block in range(blocks)]
+
+
+def _sent(part: DataFrame):
+    """One block of items, sent to the executors."""
+    return part.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
 
 
 def _searcher(sent, similarity: float):
+    key = uuid.uuid4().hex
+
     def run(batches):
-        matcher = Matcher(sent.value, similarity)
+        matcher = held(("decontaminate", key), lambda: Matcher(sent.value, similarity))
         for batch in batches:
             rows = [(i.as_py(), *m) for i, t in zip(batch.column("doc_id"), batch.column("text")) for m in matcher.find(t.as_py())]
             columns = list(zip(*rows)) or [[]] * 6
@@ -168,15 +186,20 @@ def _searcher(sent, similarity: float):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows whose own text holds no item, with all their columns."""
     ship(docs.sparkSession)
-    out = docs.transform(spread)
-    for sent in _sent(benchmark, block_bytes):
-        out = out.mapInArrow(_cleaner(sent, similarity), docs.schema)
+    out, blocks = docs.transform(spread), _blocks(benchmark, block_bytes)
+    for part in blocks:
+        out = out.mapInArrow(_cleaner(sent := _sent(part), similarity), docs.schema)
+        if len(blocks) > 1:
+            out = settle(out, "cleaned")
+            sent.unpersist()
     return out
 
 
 def _cleaner(sent, similarity: float):
+    key = uuid.uuid4().hex
+
     def run(batches):
-        matcher = Matcher(sent.value, similarity)
+        matcher = held(("decontaminate", key), lambda: Matcher(sent.value, similarity))
         for batch in batches:
             yield batch.filter(pa.array([not matcher.find(t.as_py()) for t in batch.column("text").cast(pa.string())], pa.bool_()))
 
