@@ -55,49 +55,92 @@ def test_moved_blocks_and_short_lines(spark):
     assert kept(df) == {1: text(1, 2, "ok", 3, 4), 2: text(5, 6), 3: "ok\nyes", 4: "ok\nyes"}
 
 
-def test_frequent_lines_alone_make_no_pair(spark):
-    rows = [(i, text(0, 100 + i)) for i in range(10)]
-    assert kept(docs(spark, rows), rare=5) == dict(rows)
-    assert kept(docs(spark, rows), rare=10) == {i: text(0, 100 + i) if i == 0 else text(100 + i) for i in range(10)}
-
-
 def test_frequent_lines_go_by_default(spark):
     rows = [(i, text(0, 100 + i)) for i in range(1200)]
     assert kept(docs(spark, rows)) == {i: text(0, 100 + i) if i == 0 else text(100 + i) for i in range(1200)}
 
 
-def test_large_groups_of_copies_are_cut_by_rows_of_lines(spark):
+def test_large_groups_of_copies(spark):
     rows = [(i, text(1, 2, 3, 4, 1000 + i)) for i in range(40)] + [(100 + i, text(7)) for i in range(40)]
-    got = kept(docs(spark, rows), rare=5)
+    got = kept(docs(spark, rows))
     assert got[0] == rows[0][1] and got[100] == text(7)
     assert all(got[i] == text(1000 + i) for i in range(1, 40))
     assert all(got[100 + i] == "" for i in range(1, 40))
 
 
-def plain(rows, rare=line_dedup.RARE):
-    """All pairs with the first holder, by a double loop."""
-    hold, count = {}, {}
-    keys = {}
+def test_blocks_that_the_first_holder_has_in_another_order(spark):
+    assert kept(docs(spark, [(1, text(1, 2)), (2, text(2, 1)), (3, text(2, 1))])) == {1: text(1, 2), 2: "", 3: ""}
+
+
+def test_lines_that_occur_several_times(spark):
+    df = docs(spark, [(1, text(1, 2, 3)), (2, text(8, 1, 9, 1, 7)), (3, text(4, 4, 4)), (4, text(4, 5))])
+    assert kept(df) == {1: text(1, 2, 3), 2: text(8, 9, 7), 3: text(4, 4, 4), 4: text(5)}
+
+
+def test_blocks_of_short_lines_and_line_ends(spark):
+    verse = "roses are red\nviolets are blue\n\nand so on"
+    df = docs(spark, [(1, f"a\n{verse}\nb"), (2, f"c\n{verse}\nd"), (3, text(1, 2).replace("\n", "\r\n")), (4, text(1, 6, 2)), (5, "roses are red\nx")])
+    assert kept(df) == {1: f"a\n{verse}\nb", 2: "c\nd", 3: text(1, 2).replace("\n", "\r\n"), 4: text(6), 5: "roses are red\nx"}
+
+
+def test_text_without_spaces(spark):
+    wide = "字" * line_dedup.LETTERS * line_dedup.WORDS
+    assert kept(docs(spark, [(1, wide), (2, f"{wide}\nb"), (3, wide[1:])])) == {1: wide, 2: "b", 3: wide[1:]}
+
+
+def plain(rows):
+    """All pairs of documents: each block of equal lines, without blank lines at its ends, that holds enough words goes from the later one."""
+    texts = {}
     for i, t in rows:
-        parts = [x.strip(" ") for x in t.split("\n")] if t else []
-        long = [len(x.split(" ")) >= line_dedup.WORDS for x in parts]
-        own = {(1, x) for x, l in zip(parts, long) if l}
-        own |= {(2, *parts[k : k + 3]) for k in range(len(parts) - 2) if any(long[k : k + 3])}
-        own |= {(3, *parts)} if any(long) else set()
-        keys[i] = own, parts, long
-        for k in own:
-            hold[k] = min(i, hold.get(k, i))
-            count[k] = count.get(k, 0) + 1
+        parts = [x.strip(" \t\r\v\f") for x in t.split("\n")] if t else []
+        texts[i] = parts, [max(len(x.split()), len(x) // 12) for x in parts]
     out = {}
-    for i, (own, parts, long) in keys.items():
+    for i, (parts, count) in texts.items():
         gone = set()
-        for first in {hold[k] for k in own if hold[k] < i and (k[0] > 1 or count[k] <= rare)}:
-            gone |= set(line_dedup.common_lines(keys[first][1], parts, long))
+        for other, (theirs, _) in texts.items():
+            if other >= i or not set(parts) & set(theirs) - {""}:
+                continue
+            where = {}
+            for k, x in enumerate(theirs):
+                where.setdefault(x, []).append(k)
+            for j in range(len(parts)):
+                for k in where.get(parts[j], ()):
+                    if j and k and parts[j - 1] == theirs[k - 1]:
+                        continue
+                    end = j
+                    while end < len(parts) and k + end - j < len(theirs) and parts[end] == theirs[k + end - j]:
+                        end += 1
+                    block = [n for n in range(j, end) if parts[n]]
+                    if sum(count[n] for n in block) >= 8:
+                        gone |= set(range(block[0], block[-1] + 1))
         out[i] = sorted(gone)
     return out
 
 
-def test_query_against_a_plain_computation(spark, small):
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["", "a", "b c", "d e f", "one two three four five six seven eight", "1 2 3 4 5 6 7 8 9"]), max_size=12).map("\n".join), min_size=2, max_size=4))
+def test_runs_against_all_pairs(texts):
+    rows = list(enumerate(texts))
+    first, gone = {}, {i: set() for i, _ in rows}
+    for i, t in rows:
+        for key, at, n in zip(*line_dedup.places(t)):
+            if first.setdefault(key, i) < i:
+                gone[i] |= set(range(at, at + n))
+    assert {i: sorted(x) for i, x in gone.items()} == plain(rows)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 15), st.integers(0, 15), st.integers(1, 4)), min_size=1, max_size=12))
+def test_blocks_cover_all_shared_runs(matches):
+    found = line_dedup.blocks(matches)
+    assert {x for a, b, _, _ in found for x in range(a, b)} == {j + k for j, _, n in matches for k in range(n)}
+    points = {(j + k, i + k) for j, i, n in matches for k in range(n)}
+    assert all((a + k, i + k) in points for a, b, i, _ in found for k in range(b - a))
+    aligned = sorted((a, i) for a, b, i, moved in found if not moved)
+    assert all(p[1] < q[1] for p, q in zip(aligned, aligned[1:]))
+
+
+def test_query_against_all_pairs(spark, small):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     want = plain(rows)
     got = {r.doc_id: r.deleted or [] for r in registry.op3_line_dedup(spark, small).collect()}
