@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import pytest
@@ -77,3 +79,53 @@ def test_length_alone_makes_no_document_toxic(spark):
         assert use.score(f"{whole[:size // 2]}\n{foul}\n{whole[size // 2 : size]}")[0] > 0.9
     for wide in (whole[: 1 << 20].translate(dict.fromkeys(map(ord, ".!?\n"), " ")), "".join(whole[: 1 << 20].split())):
         assert "".join(toxicity.sentences(wide)) == wide and max(map(len, toxicity.sentences(wide))) <= toxicity.WIDEST
+
+
+def plain_score(model, text):
+    """Noisy-or by multiplying, over every stretch of sentences in turn."""
+    parts, part = [], ""
+    for k, c in enumerate(text or ""):
+        part += c
+        if c in ".!?\n" and (k + 1 == len(text) or text[k + 1] not in ".!?\n"):
+            parts.append(part)
+            part = ""
+    parts.append(part)
+    probabilities = []
+    for s in parts:
+        words = set(s.split())
+        if not words:
+            continue
+        z = model.bias
+        for w in words:
+            bare = "".join(c for c in w.lower() if c.isalnum())
+            edged = f"^{bare}$"
+            grams = {edged, *(edged[i : i + n] for n in (3, 4, 5) for i in range(len(edged) - n + 1))} if bare else set()
+            z += sum(model.weights.get(g, 0) for g in grams) / max(1, len(grams)) ** 0.5
+        probabilities.append(1 / (1 + math.exp(-z)))
+    best = 0.0
+    for i in range(max(1, len(probabilities) - model.reach + 1)):
+        none = 1.0
+        for p in probabilities[i : i + model.reach]:
+            none *= 1 - p
+        best = max(best, 1 - none)
+    return best
+
+
+def test_query_against_a_plain_noisy_or(spark, small):
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.score for r in registry.op9_toxicity(spark, small).collect()}
+    assert set(got) == set(texts)
+    checked = 0
+    for i, t in texts.items():
+        if all(len(s) <= toxicity.WIDEST for s in re.split(r"(?<=[.!?\n])", t or "")):
+            assert got[i] == pytest.approx(plain_score(model, t), abs=1e-9)
+            checked += 1
+    assert checked > 0.9 * len(texts) and max(got.values()) > 0.5
+
+
+def test_longest_text_to_learn_from_is_a_parameter(spark):
+    docs = spark.createDataFrame([(i, ("foul " if i % 2 else "good ") * 20 + f"x{i}") for i in range(1, 60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id bigint, toxic int")
+    assert toxicity.train(docs, labels).weights and not toxicity.train(docs, labels, longest=50).weights

@@ -10,8 +10,8 @@ model learns how many sentences (reach) 90 % of them have at most, and a longer
 is the greatest among its stretches of that many consecutive sentences, wherever they begin. A part
 without a mark of its end is cut after at most WIDEST characters, between words where there are some.
 
-Training takes a bounded sample of labelled rows (POSITIVE toxic and NEGATIVE other ones, those
-whose hashed id comes first, of texts up to LONGEST bytes) to the driver. Scoring covers every
+Training takes a bounded sample of labelled rows (at most `positive` toxic and `negative` other ones,
+those whose hashed id comes first, of texts up to `longest` bytes; parameters of train()) to the driver. Scoring covers every
 whole text, without a shuffle; a worker remembers the weights of up to WORDS words.
 
 Defined results: null, empty and blank texts have no sentence and score 0; no labelled toxic row:
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import ship, spread
+from tidewater.llm.common import held, ship, spread
 
 POSITIVE, NEGATIVE, LONGEST = 1500, 3000, 1 << 16
 GRAMS = (3, 4, 5)
@@ -45,7 +45,6 @@ OFFENDING = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
 _WIDE = re.compile(rf"(?s).{{1,{WIDEST}}}\Z|.{{1,{WIDEST - 1}}}\s|.{{1,{WIDEST}}}")
 _PLAIN = re.compile(r"[\W_]+")
-_scorers: dict[str, Scorer] = {}
 
 
 def sentences(text: str) -> list[str]:
@@ -177,25 +176,23 @@ class Scorer(dict):
         return -math.expm1(-most), found
 
 
-def scorer(model: Model, key: str) -> Scorer:
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(model)
-    return _scorers[key]
-
-
 def held_out(doc_id):
     """Whether a document is kept from training: crc32 of its id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative: int = NEGATIVE) -> Model:
-    """Learns from at most positive + negative labelled rows that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative: int = NEGATIVE, longest: int = LONGEST) -> Model:
+    """Learns from at most positive + negative labelled rows that are not held out.
+
+    longest bounds the bytes of a text that is learnt from, so that the driver holds at most
+    (positive + negative) * longest bytes. A row with a longer text gives no example; the
+    ids are chosen first, so none takes its place. Scores cover texts of any length.
+    """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64(F.lit(9), "doc_id"), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*order).limit(positive).unionByName(known.where("toxic <> 1").orderBy(*order).limit(negative))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") <= LONGEST)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") <= longest)
     # At most positive + negative ids are broadcast and as many rows collected; copies of an id are taken once.
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: r["doc_id"])
@@ -212,7 +209,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches):
-        use = scorer(sent.value, key)
+        use = held(("toxicity", key), lambda: Scorer(sent.value))
         for batch in batches:
             found = [use.score(t.as_py()) for t in batch.column("text")]
             columns = [*batch.columns, pa.array([p for p, _ in found], pa.float64()), pa.array([x for _, x in found], kind)]
