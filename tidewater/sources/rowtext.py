@@ -49,7 +49,7 @@ def read(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType |
         raise ValueError(f"the declared schema isn't that of {first!r}")
     use = schema or found
     rows = lines.select("value", F.col("_metadata.file_block_start").alias("begin"))
-    same = r"^# schema: [^:,]+:\s*" + r"\s*,[^:,]+:\s*".join(kinds) + r"\s*$"
+    same = r"^# schema: [^,]+:\s*" + r"\s*,[^,]+:\s*".join(kinds) + r"\s*$"
     head = F.startswith("value", F.lit(MARK))
     wrong = ~((F.col("begin") == 0) & F.regexp_like("value", F.lit(same)))
     rows = rows.where(F.when(head & wrong, F.raise_error(F.concat(F.lit("not the header of this table: "), F.col("value"))).cast("boolean")).otherwise(~head))
