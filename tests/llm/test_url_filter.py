@@ -1,4 +1,6 @@
+import math
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -62,6 +64,35 @@ def test_model_on_hosts_it_has_not_seen():
     assert right / total > 0.8
 
 
+def test_training_against_a_plain_loop():
+    rows = [("http://good.org/a", 0), ("http://bad.biz/b", 1), ("http://bad.biz/c", 1), ("x", 0)]
+    grams = []
+    for u, _ in rows:
+        host, path = plain_split(u)
+        own = {k + t[i : i + n] for k, t in (("h", f"^{host}$"), ("p", f"^{path}$")) for n in (3, 4, 5) for i in range(max(0, len(t) - n + 1))}
+        grams.append(sorted({zlib.crc32(g.encode()) % (1 << url_filter.BITS) for g in own}))
+    weights, bias = {}, 0.0
+    for _ in range(7):
+        slope, off_sum = {}, 0.0
+        for own, (_, y) in zip(grams, rows):
+            z = sum(weights.get(g, 0.0) for g in own) / max(1, len(own)) ** 0.5 + bias
+            off = 1 / (1 + math.exp(-z)) - y
+            off_sum += off
+            for g in own:
+                slope[g] = slope.get(g, 0.0) + off / max(1, len(own)) ** 0.5 / len(rows)
+        weights = {g: weights.get(g, 0.0) - 0.5 * 20 * (d + 1e-3 / 20 * weights.get(g, 0.0)) for g, d in slope.items()}
+        bias -= 0.5 * off_sum / len(rows)
+    got = url_filter.train(rows, turns=7)
+    assert got[-1] == pytest.approx(bias, abs=1e-5) and set(np.flatnonzero(got[:-1]).tolist()) <= set(weights)
+    assert all(got[g] == pytest.approx(w, abs=1e-4) for g, w in weights.items())
+
+
+def test_table_has_each_url_once_and_no_made_up_hosts_of_the_pages():
+    urls = [u for u, _ in url_filter.LABELLED]
+    assert len(urls) == len(set(urls)) and not any(".example." in u for u in urls)
+    assert {y for _, y in url_filter.LABELLED} == {0, 1}
+
+
 def test_training_table_is_bounded():
     with pytest.raises(ValueError):
         url_filter.train([("a://b", 0)] * (url_filter.MOST + 1))
@@ -77,8 +108,6 @@ def test_query_against_a_plain_computation(spark, small):
         assert (r.host, r.path) == plain_split(urls[r.page_id])
         rule, verdict = plain_rule(r.host, r.path)
         grams = {k + t[i : i + n] for k, t in (("h", f"^{r.host}$"), ("p", f"^{r.path}$")) for n in (3, 4, 5) for i in range(max(0, len(t) - n + 1))}
-        import zlib
-
         own = np.array(sorted({zlib.crc32(g.encode()) % (1 << url_filter.BITS) for g in grams}))
         z = weights[own].sum() / len(own) ** 0.5 + weights[-1]
         assert r.rule == rule and r.verdict == (verdict or ("block" if z >= 0 else "allow"))

@@ -23,17 +23,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Estimated bytes up to which a table in a few files is dealt out before costly work on each row.
-SMALL = 256 << 20
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """Deals a small table in fewer files than there are cores out to all cores; any other is left as its files are.
+    """Deals a table in fewer files than there are cores, and too small for Spark to cut into a part for each, out to all cores.
 
-    A small file is often one row group, which one task reads. The rows are the same.
+    A small file is often one row group, which one task reads. The rows are the same; what a scan can deal out by
+    itself (spark.sql.files.maxPartitionBytes) is left as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if plan_bytes(df) <= SMALL and 0 < len(df.inputFiles()) < cores:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    part = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    if plan_bytes(df) < cores * part and 0 < len(df.inputFiles()) < cores:
         return df.repartition(cores)
     return df
 

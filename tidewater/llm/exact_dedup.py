@@ -112,7 +112,8 @@ class DigestIndex:
 
     def compact(self) -> None:
         """Writes each bucket as one sorted file; every batch adds a file to each bucket that it has rows for."""
-        self._rewrite(self._files())
+        if not self.rows().isEmpty():
+            self._rewrite(self._files())
 
     def add(self, docs: DataFrame, batch: str | None = None) -> DataFrame:
         """Adds a batch; returns per row doc_id, keep_id, group_size, kept, text_sha256.
