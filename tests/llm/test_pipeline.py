@@ -97,3 +97,17 @@ def test_stages_stand_edges(spark, edges, none):
     for name, stage in pipeline.STAGES:
         assert stage(spark, extra, SF).count() > 0, name
         assert stage(spark, extra.where("doc_id > 1000"), SF).count() == 0, name
+
+
+def test_what_stages_do_with_edges(spark, edges):
+    extra = edges.selectExpr("*", "'en' AS lang", "'s' AS source", "CAST(length(text) AS BIGINT) AS n_chars")
+    texts = lambda df: sorted(map(repr, ((r.doc_id, r.text and r.text[:20]) for r in df.collect())))
+    whole = extra.where("doc_id = 1").first().text[:20]
+    assert texts(pipeline.without_repeated_lines(spark, extra, SF)) == texts(extra.where("NOT (doc_id <=> 2) AND NOT (doc_id IS NULL AND text IS NOT NULL)"))
+    near = [(r.doc_id, r.text and r.text[:20]) for r in pipeline.without_near_copies(spark, extra, SF).collect()]
+    assert sorted(near, key=repr) == sorted([(1, whole), (3, None), (6, extra.where("doc_id = 6").first().text[:20]), (7, "one"), (7, "two of one id"), (8, extra.where("doc_id = 8").first().text[:20])], key=repr)
+    assert texts(pipeline.without_benchmarks(spark, extra, SF)) == texts(extra)
+    coded = pipeline.tokenised(spark, extra, SF).collect()
+    empty = hashlib.sha256(b"").hexdigest()
+    assert len(coded) == extra.count() and sum(r.n_tokens == 0 for r in coded) == 3
+    assert all(r.ids_sha256 == r.decoded_sha256 == empty for r in coded if r.doc_id in (3, 4))
