@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.operators.relational import plan_bytes
-from tidewater.scratch import scratch_path, shared_dir  # noqa: F401  for the operators
+from tidewater.scratch import drop_path, scratch_path, shared_dir  # noqa: F401  for the operators
 from tidewater.shipping import ship  # noqa: F401
 
 
@@ -20,7 +20,14 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    settled = spark.read.schema(df.schema).parquet(path)
+    settled._settled_at = path
+    return settled
+
+
+def release(settled: DataFrame) -> None:
+    """Deletes a table of settle() from which nothing is computed any more: all that came of it is written."""
+    drop_path(settled.sparkSession, settled._settled_at)
 
 
 def spread(df: DataFrame) -> DataFrame:

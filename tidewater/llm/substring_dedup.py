@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import fresh, settle, ship, spread
+from tidewater.llm.common import fresh, release, settle, ship, spread
 
 LEAST, MOST, BITS, RUN = 16, 256, 4, 200
 #: Bytes of a stretch that is extended, and bytes by which one side of it can grow.
@@ -180,9 +180,12 @@ def _passages(docs: DataFrame, least: int) -> DataFrame:
     found = settle(chunks(docs), "chunks")
     owners = found.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min_by("version", "id").alias("first_version"), F.min_by("at", "id").alias("there"))
     owners = settle(owners.where("first < last").drop("last"), "owners")  # as a table, both sides of the join are plain shuffles, and AQE can split a frequent digest
-    repeated = settle(found.join(owners.hint("merge"), ["h1", "h2"]).where("id > first").select("id", "version", "at", "first", "first_version", "there"), "repeats").distinct()
-    stretches = repeated.repartition("id", "version").sortWithinPartitions("id", "version", "at").mapInArrow(_stretches, STRETCHES)
+    repeated = settle(found.join(owners.hint("merge"), ["h1", "h2"]).where("id > first").select("id", "version", "at", "first", "first_version", "there"), "repeats")
+    release(found)  # by far the largest table
+    release(owners)
+    stretches = repeated.distinct().repartition("id", "version").sortWithinPartitions("id", "version", "at").mapInArrow(_stretches, STRETCHES)
     stretches = settle(stretches.withColumn("till", F.col("there") + F.col("end") - F.col("start")), "stretches")
+    release(repeated)
 
     place, texts = ["first", "first_version", "there", "till"], _texts(docs)
     asked = stretches.where(F.col("end") - F.col("start") >= CANDIDATE).select(*place).distinct()
