@@ -6,6 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidewater import scratch
+from tidewater.plans import catalog
 from tidewater.sources import paged, paged_format, registry, rowtext, tables, typed_csv
 from tidewater.streaming import splits
 
@@ -176,6 +177,20 @@ def test_paged_source(spark, tmp_path):
         registry.read(spark, "orc", path)
 
 
+@pytest.mark.parametrize("enabled", [None, "false", "true"])
+def test_paged_needs_no_pushdown_by_spark(spark, small, agree, tmp_path, enabled):
+    """A session that isn't get_session()'s has Spark's default, off."""
+    before = spark.conf.get(paged.PUSHDOWN)
+    try:
+        spark.conf.unset(paged.PUSHDOWN) if enabled is None else spark.conf.set(paged.PUSHDOWN, enabled)
+        agree(catalog.QUERIES["paged_scan_filter"], catalog.ORACLES["paged_scan_filter"])
+        path = str(tmp_path / "paged")
+        paged.write(spark.range(100), path, 10, 5)
+        assert bag(paged.read(spark, path).where("id >= 97 AND id != 98")) == [(97,), (99,)]
+    finally:
+        spark.conf.set(paged.PUSHDOWN, before)
+
+
 def test_paged_write_that_fails_changes_nothing(spark, tmp_path):
     path = str(tmp_path / "paged")
     paged.write(spark.range(10), path, 4, 2)

@@ -3,8 +3,9 @@
 A task takes the row groups that begin in its ranges (about TASK bytes; small files share a
 task), reads each file's footer itself, and skips the groups and pages that the filters rule out.
 Columns are pruned through the option "columns", as Spark doesn't push projections to
-Python sources. Filters come through the option "filters", or from Spark itself where the
-session has spark.sql.python.filterPushdown.enabled. Files are opened by the file system of their path,
+Python sources. Filters come through the option "filters", or from Spark itself where read()
+finds the session with spark.sql.python.filterPushdown.enabled; without it Spark refuses readers that take
+filters, so such a session gets one that doesn't. Files are opened by the file system of their path,
 so every executor must reach it.
 
 A folder that write() made has a manifest: the files that one job wrote, put in place when the job
@@ -40,6 +41,8 @@ from tidewater.sources.paged_format import PagedFile, encode
 
 #: Bytes of files that one task reads, about; and the name of a folder's list of files.
 TASK, MANIFEST = 128 << 20, "_manifest"
+#: The setting under which Spark gives Python sources its filters; off unless a session sets it.
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 _OPS = {EqualTo: "EQ", LessThan: "LT", LessThanOrEqual: "LE", GreaterThan: "GT", GreaterThanOrEqual: "GE"}
 
 
@@ -94,14 +97,6 @@ class PagedReader(DataSourceReader):
     def __init__(self, files: list[tuple[str, int]], columns: list[str], filters: list, task_bytes: int):
         self.files, self.columns, self.filters, self.task_bytes = files, columns, [tuple(f) for f in filters], task_bytes
 
-    def pushFilters(self, filters):  # noqa: N802  Spark's name
-        for f in filters:
-            inner = f.child if isinstance(f, Not) else f
-            op = "NE" if isinstance(f, Not) and isinstance(inner, EqualTo) else None if isinstance(f, Not) else _OPS.get(type(f))
-            if op and len(inner.attribute) == 1:
-                self.filters.append((inner.attribute[0], op, inner.value))
-            yield f  # Spark compares again, which costs little on rows that are left
-
     def partitions(self):
         out, open_bytes = [[]], 0
         for path, size in self.files:
@@ -122,6 +117,18 @@ class PagedReader(DataSourceReader):
                     yield from file.read_group(n, self.columns, self.filters).to_batches()
 
 
+class PushedReader(PagedReader):
+    """A reader that Spark gives its filters too."""
+
+    def pushFilters(self, filters):  # noqa: N802  Spark's name
+        for f in filters:
+            inner = f.child if isinstance(f, Not) else f
+            op = "NE" if isinstance(f, Not) and isinstance(inner, EqualTo) else None if isinstance(f, Not) else _OPS.get(type(f))
+            if op and len(inner.attribute) == 1:
+                self.filters.append((inner.attribute[0], op, inner.value))
+            yield f  # Spark compares again, which costs little on rows that are left
+
+
 class PagedSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -141,7 +148,8 @@ class PagedSource(DataSource):
         return from_arrow_schema(pa.schema([schema.field(c) for c in self._columns()]) if self._columns() else schema)
 
     def reader(self, schema: StructType) -> PagedReader:
-        return PagedReader(self._files(), self._columns() or schema.names, json.loads(self.options.get("filters", "[]")), int(self.options.get("task_bytes", TASK)))
+        made = PushedReader if self.options.get("pushed") == "true" else PagedReader
+        return made(self._files(), self._columns() or schema.names, json.loads(self.options.get("filters", "[]")), int(self.options.get("task_bytes", TASK)))
 
 
 def read(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] = (), filters: Sequence[tuple[str, str, object]] = (), task_bytes: int = TASK) -> DataFrame:
@@ -149,7 +157,8 @@ def read(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str]
     ship(spark)
     spark.dataSource.register(PagedSource)
     path = paths if isinstance(paths, str) else ",".join(paths)
-    options = {"path": path, "columns": ",".join(columns), "filters": json.dumps([list(f) for f in filters]), "task_bytes": str(task_bytes)}
+    pushed = spark.conf.get(PUSHDOWN, "false").lower()
+    options = {"path": path, "columns": ",".join(columns), "filters": json.dumps([list(f) for f in filters]), "task_bytes": str(task_bytes), "pushed": pushed}
     return spark.read.format("paged").options(**options).load()
 
 
